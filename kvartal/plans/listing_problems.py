@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kvartal.operators.spatial_join import circle_shapes, polygon_shapes, within_reach
+from kvartal.operators.units import prices_in_manat
 from kvartal.sources.tables import table
 
 
@@ -16,7 +18,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_reach(table(spark, sf_dir, "listings"), "row_no", "lat", "lon", shapes)
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows priced in another currency, scale or basis, with their total in whole manat."""
+    prices = prices_in_manat(table(spark, sf_dir, "listings"), table(spark, sf_dir, "fx_rates"))
+    return prices.where("other_unit").select("row_no", F.floor(F.round("price_manat", 6) + 0.5).cast("long").alias("price_azn"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
 
 SQL = {
     "p1_found": """
