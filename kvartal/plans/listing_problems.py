@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvartal.operators.spatial_join import circle_shapes, polygon_shapes, within_reach
+from kvartal.operators.spikes import implausible_readings
 from kvartal.operators.units import prices_in_manat
 from kvartal.sources.tables import table
 
@@ -24,7 +25,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.where("other_unit").select("row_no", F.floor(F.round("price_manat", 6) + 0.5).cast("long").alias("price_azn"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices per square metre and areas that can't be true, or that a feed keeps repeating."""
+    return implausible_readings(table(spark, sf_dir, "listings"), {"price_azn_m2": 2.0, "area": 4.0})
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
 
 SQL = {
     "p1_found": """
@@ -44,5 +50,15 @@ inside AS (
   WHERE l.lon < (v.x2 - v.x1) * (l.lat - v.y1) / (v.y2 - v.y1) + v.x1
   GROUP BY 1, 2 HAVING count(*) % 2 = 1)
 SELECT DISTINCT * FROM (SELECT * FROM near UNION ALL SELECT * FROM inside)
+""",
+    "p5_found": """
+WITH v AS (
+  SELECT row_no, source, h3, 'price_azn_m2' AS field_name, price_azn_m2 AS x, 2.0 AS k FROM listings
+  UNION ALL SELECT row_no, source, h3, 'area', area, 4.0 FROM listings),
+m AS (SELECT *, median(x) OVER (PARTITION BY field_name, h3) AS med FROM v WHERE x IS NOT NULL),
+c AS (SELECT *, CASE WHEN lag(x) OVER w = x THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY field_name, source, h3 ORDER BY row_no)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY field_name, source, h3 ORDER BY row_no) AS run FROM c),
+n AS (SELECT *, count(*) OVER (PARTITION BY field_name, source, h3, run) AS len FROM r)
+SELECT DISTINCT row_no, field_name FROM n WHERE x <= 0 OR x <= med / k OR x >= med * k OR len >= 6
 """,
 }
