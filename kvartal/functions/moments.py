@@ -17,6 +17,7 @@ def moment_us(text: Column, offset: str = LOCAL_OFFSET) -> Column:
     """
     s = F.trim(text)
     dotted = F.regexp_replace(s, r"^(\d{2})\.(\d{2})\.(\d{4})[ T](\d{2}:\d{2}(?::\d{2})?)$", "$3-$2-$1 $4")
+    dotted = F.regexp_replace(dotted, r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2})(?!:)", "$1:00")
     zoned = F.when(dotted.rlike(r"^\d{4}-\d{2}-\d{2}[ T].*(Z|[+-]\d{2}:?\d{2})$"), dotted).when(
         dotted.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(dotted, F.lit(" 00:00:00" + offset))
     ).when(dotted.rlike(r"^\d{4}-\d{2}-\d{2}[ T]"), F.concat(dotted, F.lit(offset)))
