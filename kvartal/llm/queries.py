@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvartal.llm.history_dedup import refused_rows
 from kvartal.llm.near_duplicates import near_duplicate_groups, pairs_within
 from kvartal.operators.units import prices_in_manat
 from kvartal.sources.tables import stored, table
@@ -18,6 +19,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_within(stored(near_duplicate_groups(rows), "alike-groups"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat what accepted earlier rows already brought."""
+    return refused_rows(table(spark, sf_dir, "listings"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
 
 SQL: dict[str, str] = {}
