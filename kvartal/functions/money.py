@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How sites print units.  Patterns apply to lower-case text; \p{L} bounds keep words whole.
@@ -34,36 +34,45 @@ def currency_code(text: Column) -> Column:
     return out
 
 
-def read_number(text: Column, scaled: Column) -> Column:
-    """A printed number with any digit grouping; ``scaled`` tells that a word of scale follows it."""
-    n = F.regexp_replace(F.regexp_extract(text, r"\d[\d., ]*", 0), r"[., ]+$", "")
-    digits = F.regexp_replace(n, r"[., ]", "")
-    whole = F.regexp_replace(F.regexp_replace(n, r"[.,]\d{1,2}$", ""), r"[., ]", "")
-    cents = F.regexp_extract(n, r"[.,](\d{1,2})$", 1)
-    return (
-        F.when(n.rlike(r"^\d+$"), n.try_cast("double"))
-        .when((scaled | n.startswith("0")) & n.rlike(r"^\d+[.,]\d+$"), F.translate(n, ",", ".").try_cast("double"))
-        .when(n.rlike(r"^\d{1,3}(?:[., ]\d{3})+$"), digits.try_cast("double"))
-        .when(n.rlike(r"^(?:\d+|\d{1,3}(?:[., ]\d{3})+)[.,]\d{1,2}$"), F.concat(whole, F.lit("."), cents).try_cast("double"))
-    )
-
-
-def read_price(price: Column, currency: Column) -> Column:
-    """Struct (amount, code, scale, per_m2, scale_said) of a printed price.
+def with_price(df: DataFrame, price: str = "price", currency: str = "currency") -> DataFrame:
+    """``df`` with ``amount, code, scale, per_m2, scale_said`` of its printed price.
 
     A unit in ``price`` goes before ``currency``; no unit at all means manat.
     ``scale`` is 1, 1000, 1000000 or 0.01 as far as the text says so, and
     ``scale_said`` tells whether it does.  An unreadable price has NULL amount.
+
+    Each step is a projection of its own: what later steps use several times
+    is computed once.  Texts without a letter skip the patterns of units.
     """
-    p = plain(price)
-    per = p.rlike(SQUARE_METRE)
-    rest = F.regexp_replace(F.regexp_replace(p, r"^\s*1 ?" + SQUARE_METRE, " "), SQUARE_METRE, " ")
-    thousand, million, hundredth = rest.rlike(THOUSAND), rest.rlike(MILLION), rest.rlike(HUNDREDTH)
-    scale = F.when(million, 1e6).when(thousand, 1e3).when(hundredth, 0.01).otherwise(1.0)
-    return F.struct(
-        read_number(rest, million | thousand).alias("amount"),
-        F.coalesce(currency_code(rest), currency_code(plain(currency)), F.lit("AZN")).alias("code"),
-        scale.alias("scale"),
-        F.coalesce(per, F.lit(False)).alias("per_m2"),
-        F.coalesce(million | thousand | hundredth | per, F.lit(False)).alias("scale_said"),
+    n, digits = F.col("_n"), F.regexp_replace("_n", r"[., ]", "")
+    whole = F.regexp_replace(F.regexp_replace("_n", r"[.,]\d{1,2}$", ""), r"[., ]", "")
+    cents = F.regexp_extract("_n", r"[.,](\d{1,2})$", 1)
+    said = F.col("_million") | F.col("_thousand")
+    amount = (
+        F.when(n.rlike(r"^\d+$"), n.try_cast("double"))
+        .when((said | n.startswith("0")) & n.rlike(r"^\d+[.,]\d+$"), F.translate(n, ",", ".").try_cast("double"))
+        .when(n.rlike(r"^\d{1,3}(?:[., ]\d{3})+$"), digits.try_cast("double"))
+        .when(n.rlike(r"^(?:\d+|\d{1,3}(?:[., ]\d{3})+)[.,]\d{1,2}$"), F.concat(whole, F.lit("."), cents).try_cast("double"))
+    )
+    worded = lambda c: F.col("_words") & c
+    return (
+        df.withColumn("_p", F.coalesce(plain(F.col(price)), F.lit("")))
+        .withColumn("_words", F.col("_p").rlike(r"[^\d., ]"))
+        .withColumn("per_m2", worded(F.col("_p").rlike(SQUARE_METRE)))
+        .withColumn("_rest", F.when(F.col("per_m2"), F.regexp_replace(F.regexp_replace("_p", r"^\s*1 ?" + SQUARE_METRE, " "), SQUARE_METRE, " ")).otherwise(F.col("_p")))
+        .withColumns({
+            "_n": F.regexp_replace(F.regexp_extract("_rest", r"\d[\d., ]*", 0), r"[., ]+$", ""),
+            "_million": worded(F.col("_rest").rlike(MILLION)),
+            "_thousand": worded(F.col("_rest").rlike(THOUSAND)),
+            "_hundredth": worded(F.col("_rest").rlike(HUNDREDTH)),
+            "_unit": F.when(F.col("_words"), currency_code(F.col("_rest"))),
+            "_other": F.lower(currency),
+        })
+        .withColumns({
+            "amount": amount,
+            "code": F.coalesce("_unit", F.when(F.col("_other") != "azn", currency_code(F.col("_other"))), F.lit("AZN")),
+            "scale": F.when(F.col("_million"), 1e6).when(F.col("_thousand"), 1e3).when(F.col("_hundredth"), 0.01).otherwise(1.0),
+            "scale_said": F.col("_million") | F.col("_thousand") | F.col("_hundredth") | F.col("per_m2"),
+        })
+        .drop("_p", "_words", "_rest", "_n", "_million", "_thousand", "_hundredth", "_unit", "_other")
     )

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.functions.money import read_price
+from kvartal.functions.money import with_price
+from kvartal.sources.tables import stored
 
 SCALES = (1.0, 1e3, 1e6)
 STAY = 0.9
@@ -100,13 +101,15 @@ def prices_in_manat(listings: DataFrame, fx_rates: DataFrame, session_rows: int
     feed's chain is cut into sessions of ``session_rows`` row numbers, so no
     task gets a whole feed.  Empty tables give an empty result.
     """
-    base = listings.select(
-        "row_no", "h3", "listed_month", F.coalesce("source", F.lit("")).alias("device"), F.when(F.col("area") > 0, F.col("area")).alias("area"), read_price(F.col("price"), F.col("currency")).alias("p")
-    ).where(F.col("p.amount") > 0)
+    base = stored(
+        with_price(listings.select("row_no", "h3", "listed_month", F.coalesce("source", F.lit("")).alias("device"), F.when(F.col("area") > 0, F.col("area")).alias("area"), "price", "currency"))
+        .where(F.col("amount") > 0)
+        .drop("price", "currency"),
+        "prices",
+    )
     rates = fx_rates.groupBy(F.col("currency").alias("code"), F.col("rate_month").alias("listed_month")).agg(F.max("azn_per_unit").alias("rate"))
     rows = (
-        base.select("row_no", "h3", "listed_month", "device", "area", "p.*")
-        .join(rates, ["code", "listed_month"], "left")
+        base.join(rates, ["code", "listed_month"], "left")
         .withColumn("rate", F.when(F.col("code") == "AZN", 1.0).otherwise(F.col("rate")))
         .withColumn("written", F.col("amount") * F.col("scale") * F.col("rate") * F.when(F.col("per_m2"), F.col("area")).otherwise(1.0))
         .where(F.col("written") > 0)
