@@ -23,7 +23,7 @@ MILLION = r"(?<!\p{L})(?:mln|млн|milyon|million|m)(?!\p{L})"
 
 def plain(text: Column) -> Column:
     """Lower case, dotted capital I folded, no-break and thin spaces as spaces, runs of spaces as one."""
-    return F.regexp_replace(F.lower(F.translate(text, "    İ", "    i")), r"\s+", " ")
+    return F.regexp_replace(F.lower(F.translate(text, "\u00a0\u202f\u2009\u2007\u0130", "    i")), r"\s+", " ")
 
 
 def currency_code(text: Column) -> Column:
