@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from kvartal.llm.history_dedup import refused_rows
 from kvartal.llm.near_duplicates import near_duplicate_groups, pairs_within
+from kvartal.llm.packing import pack
+from kvartal.llm.page_spam import spam_pages
+from kvartal.llm.quantile_sketch import percentiles_by_batch
+from kvartal.llm.tokens import token_ids
 from kvartal.operators.units import prices_in_manat
 from kvartal.sources.tables import stored, table
 
@@ -24,6 +28,39 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refused_rows(table(spark, sf_dir, "listings"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, 10th and 90th percentile of price per square metre by cell and month, from sketches kept by batch."""
+    return percentiles_by_batch(table(spark, sf_dir, "listings"), ["h3", "listed_month"], "batch_no", "price_azn_m2", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
-SQL: dict[str, str] = {}
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in containers of 2,048."""
+    sizes = token_ids(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").alias("n_tokens"))
+    return pack(sizes, "doc_id", "n_tokens", 2048).withColumnRenamed("n_size", "n_tokens")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of keywords, links or tags."""
+    return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+
+SQL = {
+    # Exact as long as a group's values fit the buffers without a collapse, as they do up to sf0.1.
+    "p6_percentiles": """
+WITH r AS (
+  SELECT h3, listed_month, price_azn_m2 AS v, row_number() OVER (PARTITION BY h3, listed_month ORDER BY price_azn_m2) AS k,
+         count(*) OVER (PARTITION BY h3, listed_month) AS n
+  FROM listings WHERE price_azn_m2 IS NOT NULL)
+SELECT h3, listed_month, max(CASE WHEN k = greatest(1, ceil(n * 0.1)) THEN v END) AS p10,
+       max(CASE WHEN k = greatest(1, ceil(n * 0.5)) THEN v END) AS p50, max(CASE WHEN k = greatest(1, ceil(n * 0.9)) THEN v END) AS p90,
+       max(n)::BIGINT AS n_values, 0::BIGINT AS rank_error
+FROM r GROUP BY 1, 2
+""",
+}
