@@ -9,12 +9,12 @@ from pyspark.sql import window as w
 BINS_PER_E = 64
 
 
-def _bin(value: Column) -> Column:
-    """Number of an order-preserving logarithmic bin; some 90,000 cover all doubles."""
-    return F.signum(value) * F.floor(F.log1p(F.abs(value)) * BINS_PER_E)
+def _bin(value: Column, bins_per_e: int) -> Column:
+    """Number of an order-preserving logarithmic bin; at 64 per factor e, some 90,000 cover all doubles."""
+    return F.signum(value) * F.floor(F.log1p(F.abs(value)) * bins_per_e)
 
 
-def exact_group_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def exact_group_median(df: DataFrame, keys: list[str], value: str, bins_per_e: int = BINS_PER_E) -> DataFrame:
     """Exact interpolated median of ``value`` for each combination of ``keys``.
 
     Counts per bin tell which bins hold the two middle ranks; only rows of those
@@ -22,7 +22,7 @@ def exact_group_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     distinct values, and not a group.  NULL and NaN values are passed over, and
     a group of nothing else has no row.  NULL keys form groups of their own.
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_b", _bin(F.col("_v")))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_b", _bin(F.col("_v"), bins_per_e))
     by_key = w.Window.partitionBy(*keys)
     upto = F.sum("_n").over(by_key.orderBy("_b"))
     total = F.sum("_n").over(by_key)
