@@ -212,7 +212,7 @@ class AcceptedStore:
         self.ingests += 1
 
 
-def refused_rows(rows: DataFrame, deliveries: int = 8) -> DataFrame:
+def refused_rows(rows: DataFrame, deliveries: int = 4) -> DataFrame:
     """(row_no) of rows that repeat accepted earlier ones, batch by batch.
 
     ``rows``: row_no (unique), batch_no, listing_id, updated_at, photos.
