@@ -55,7 +55,7 @@ class Quadtree:
     def fit(cls, lat: np.ndarray, lon: np.ndarray, total: int, leaf_rows: int) -> "Quadtree":
         """Split while a leaf's share of ``total``, as the sample shows it, exceeds ``leaf_rows``."""
         codes = np.sort(morton(lat, lon))
-        scale = total / max(1, len(codes))
+        scale = max(1, total) / max(1, len(codes))
         limit = max(16.0, leaf_rows / scale)
         leaves, stack = [], [(0, 0, 0, 0, 0, len(codes))]
         while stack:

@@ -18,28 +18,39 @@ BLOCK_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
-def robust_components(data: np.ndarray, seen: np.ndarray, rank: int = RANK, rounds: int = 25):
-    """Low-rank plus sparse split of a matrix with gaps: (column centres, row factors, column factors, sparse part).
+def robust_components(data: np.ndarray, seen: np.ndarray, rank: int = RANK, rounds: int = 60):
+    """Robust principal components of a matrix with gaps: (column centres, row factors, column factors, sparse part).
 
-    In turn, the gaps are filled from the low-rank part, that part is the
-    truncated decomposition of what is not sparse, and residuals beyond three
-    robust deviations become sparse.
+    Principal component pursuit: the data minus column medians are split into a
+    part of least nuclear norm and a sparse part, by augmented Lagrangian steps
+    with shrunk singular values and shrunk residuals; what gaps hold is free.
+    The low-rank part comes as its leading ``rank`` factors.
     """
     n, m = data.shape
     centre = np.array([np.median(data[seen[:, j], j]) if seen[:, j].any() else 0.0 for j in range(m)])
     d = np.where(seen, data - centre, 0.0)
     low, sparse = np.zeros_like(d), np.zeros_like(d)
-    k = max(1, min(rank, n, m))
-    for _ in range(rounds):
-        filled = np.where(seen, d - sparse, low)
-        _, vectors = np.linalg.eigh(filled.T @ filled)
-        v = vectors[:, -k:]
-        u = filled @ v
-        low = u @ v.T
-        rest = np.where(seen, d - low, 0.0)
-        scale = 1.4826 * np.median(np.abs(rest[seen])) if seen.any() else 0.0
-        sparse = np.where(np.abs(rest) > 3 * scale, rest, 0.0)
-    return centre, u, v, sparse
+    norm = float(np.sqrt(max(0.0, np.linalg.eigvalsh(d.T @ d)[-1])))
+    if norm > 0:
+        weight = 1 / np.sqrt(max(n, m) * seen.mean())
+        mu, most = 1.25 / norm, 1e7 / norm
+        dual = d / max(norm, np.abs(d).max() / weight)
+        for _ in range(rounds):
+            x = d - sparse + dual / mu
+            squares, v = np.linalg.eigh(x.T @ x)
+            sizes = np.sqrt(np.maximum(squares, 0))
+            keep = sizes > 1 / mu
+            v = v[:, keep]
+            low = (x @ v) * ((sizes[keep] - 1 / mu) / sizes[keep]) @ v.T
+            rest = d - low + dual / mu
+            sparse = np.where(seen, np.sign(rest) * np.maximum(np.abs(rest) - weight / mu, 0), rest)
+            gap = d - low - sparse
+            dual += mu * gap
+            mu = min(mu * 1.3, most)
+            if np.linalg.norm(gap) <= 1e-6 * np.linalg.norm(d):
+                break
+    v = np.linalg.eigh(low.T @ low)[1][:, -max(1, min(rank, n, m)) :]
+    return centre, low @ v, v, np.where(seen, sparse, 0.0)
 
 
 def _factors(pdf: pd.DataFrame) -> pd.DataFrame:
