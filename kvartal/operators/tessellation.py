@@ -157,7 +157,7 @@ def assign_boxes(points: DataFrame, point_id: str, lat: str, lon: str, boxes: Da
     number = boxes.count()
     if number > most_boxes:
         raise ValueError(f"{number} boxes; use within_reach for more than {most_boxes}")
-    p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(point_id).alias("pid"), F.col(lat).alias("y"), F.col(lon).alias("x"))
+    p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)).select(F.col(point_id).alias("pid"), F.col(lat).alias("y"), F.col(lon).alias("x"))
     b = F.broadcast(boxes.select("h3", "lat_min", "lat_max", "lon_min", "lon_max"))  # checked above
     inside = p.join(b, F.col("y").between(F.col("lat_min"), F.col("lat_max")) & F.col("x").between(F.col("lon_min"), F.col("lon_max")), "left")
     held = inside.groupBy("pid", "y", "x").agg(F.min("h3").alias("cell"))
