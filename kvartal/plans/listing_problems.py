@@ -32,7 +32,43 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found}
 
+# The printed units for an engine without look-behind, and the scale by distance from the level, which is what the chain decides at these sizes.
+_METRE = r"(m²|м²|m2|м2|kv\.?\s*m|кв\.?\s*м)\.?"
+_UNITS = [
+    ("AZM", r"azm|köhnə manat|старых манат"), ("USD", r"\$|usd|dollar|долл"), ("EUR", r"€|eur|avro|евро"), ("TRY", r"₺|lir[əae]|лир|(^|[^\p{L}])(try|tl)($|[^\p{L}])"),
+    ("GBP", r"£|gbp|funt|фунт"), ("RUB", r"₽|rub|руб"), ("AZN", r"₼|azn|manat|манат|qəp|гяп|(^|[^\p{L}])man($|[^\p{L}])"),
+]
+
+
+def _unit(text: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{c}'" for c, p in _UNITS) + " END"
+
+
+#: Common table expressions up to ``d``: what each row's price comes to in manat as written, and whether its scale shows only in its size.
+PRICES = f"""t AS (
+  SELECT row_no, h3, listed_month, CASE WHEN area > 0 THEN area END AS area, lower(currency) AS c,
+         regexp_replace(lower(translate(coalesce(price, ''), chr(160) || chr(8239) || chr(8201) || chr(8199) || chr(304), '    i')), '\\s+', ' ', 'g') AS p FROM listings),
+u AS (SELECT *, regexp_matches(p, '[^0-9., ]') AS words, regexp_matches(p, '{_METRE}') AS per FROM t),
+v AS (SELECT *, CASE WHEN per THEN regexp_replace(regexp_replace(p, '^\\s*1 ?{_METRE}', ' '), '{_METRE}', ' ', 'g') ELSE p END AS rest FROM u),
+w AS (SELECT *, regexp_replace(regexp_extract(rest, '[0-9][0-9., ]*'), '[., ]+$', '') AS n, words AND regexp_matches(rest, '(^|[^\\p{{L}}])(mln|млн|milyon|million|m)($|[^\\p{{L}}])') AS mil,
+      words AND regexp_matches(rest, '(^|[^\\p{{L}}])(min|bin|тыс|k|к)($|[^\\p{{L}}])') AS th, words AND regexp_matches(rest, 'qəp|гяп') AS hu FROM v),
+a AS (SELECT *, coalesce(CASE WHEN words THEN {_unit("rest")} END, {_unit("c")}, 'AZN') AS code, CASE WHEN mil THEN 1e6 WHEN th THEN 1e3 WHEN hu THEN 0.01 ELSE 1.0 END AS scale, mil OR th OR hu OR per AS said,
+  CASE WHEN regexp_full_match(n, '[0-9]+') THEN n::DOUBLE
+       WHEN (mil OR th OR starts_with(n, '0')) AND regexp_full_match(n, '[0-9]+[.,][0-9]+') THEN replace(n, ',', '.')::DOUBLE
+       WHEN regexp_full_match(n, '[0-9]{{1,3}}([., ][0-9]{{3}})+') THEN regexp_replace(n, '[., ]', '', 'g')::DOUBLE
+       WHEN regexp_full_match(n, '([0-9]+|[0-9]{{1,3}}([., ][0-9]{{3}})+)[.,][0-9]{{1,2}}')
+       THEN (regexp_replace(regexp_replace(n, '[.,][0-9]{{1,2}}$', ''), '[., ]', '', 'g') || '.' || regexp_extract(n, '[.,]([0-9]{{1,2}})$', 1))::DOUBLE END AS amount FROM w),
+r AS (SELECT a.*, amount * scale * CASE WHEN code = 'AZN' THEN 1.0 ELSE azn_per_unit END * CASE WHEN per THEN area ELSE 1.0 END AS written
+      FROM a LEFT JOIN fx_rates ON currency = code AND rate_month = listed_month WHERE amount > 0),
+l AS (SELECT h3, median(log10(written)) AS level, median(area) AS usual FROM r WHERE written > 0 GROUP BY 1),
+d AS (SELECT r.*, NOT said AND log10(written) - level - log10(coalesce(greatest(1.0 / 3, least(3.0, area / usual)), 1)) < -1.7 AS short FROM r JOIN l USING (h3) WHERE written > 0)"""
+
+_P2 = f"""WITH {PRICES}
+SELECT row_no, floor(round(written * CASE WHEN short THEN 1000 ELSE 1 END, 6) + 0.5)::BIGINT AS price_azn FROM d WHERE code <> 'AZN' OR scale <> 1 OR per OR short
+"""
+
 SQL = {
+    "p2_found": _P2,
     "p1_found": """
 WITH l AS (SELECT row_no, lat, lon FROM listings WHERE lat IS NOT NULL AND lon IS NOT NULL),
 near AS (
