@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvartal.functions.geo import haversine_km
 from kvartal.operators.components import connected_components
 
 
@@ -112,6 +113,28 @@ def market_regions(listings: DataFrame, edges: DataFrame, regions: int, cutoff_m
     return out.select(F.col("h3").alias("cell"), F.format_string("mr:%04d", F.col("label")).alias("region"))
 
 
+def assign_regions(points: DataFrame, membership: DataFrame, centres: DataFrame, cell: str = "cell", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``points`` with ``region``: that of their base cell, or of the nearest region centre for cells not seen when the regions were fitted.
+
+    ``centres``: (cell, lat, lon) of the member cells; a region's centre is
+    their mean.  Regions are few hundred by construction and are broadcast.
+    """
+    middles = membership.join(centres.select("cell", F.col("lat").alias("y"), F.col("lon").alias("x")), "cell").groupBy("region").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+    table = middles.agg(F.collect_list(F.struct("y", "x", "region")).alias("regions"))
+    known = points.join(membership.select(F.col("cell").alias(cell), F.col("region").alias("_own")), cell, "left").crossJoin(F.broadcast(table))  # one row
+    away = F.transform("regions", lambda r: F.struct(haversine_km(F.col(lat), F.col(lon), r["y"], r["x"]).alias("d"), r["region"].alias("region")))
+    return known.select(*points.columns, F.coalesce("_own", F.array_min(away)["region"]).alias("region"))
+
+
+def zone_features(boxes: DataFrame, zones: DataFrame) -> DataFrame:
+    """(zone, zone_name, feature): each zone as a GeoJSON MultiPolygon of its boxes, in [lon, lat] order with closed rings."""
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(corner("lon_min", "lat_min"), corner("lon_max", "lat_min"), corner("lon_max", "lat_max"), corner("lon_min", "lat_max"), corner("lon_min", "lat_min"))
+    parts = zones.join(boxes.select("h3", F.array(ring).alias("polygon")), "h3").groupBy("zone", "zone_name").agg(F.sort_array(F.collect_list(F.struct("h3", "polygon"))).alias("p"))
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.col("p.polygon").alias("coordinates"))
+    return parts.select("zone", "zone_name", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct("zone", "zone_name").alias("properties"))).alias("feature"))
+
+
 def region_edges(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """(src, dst) of regions with adjacent cells."""
     a = membership.select(F.col("cell").alias("src"), F.col("region").alias("ra"))

@@ -149,6 +149,6 @@ def cells_geojson(boxes: DataFrame, properties: DataFrame | None = None, clip: b
                     continue
                 ids.append(r.h3)
                 out.append(json.dumps({"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[list(p) for p in [*ring, ring[0]]]]}, "properties": {"h3": r.h3, **json.loads(r.props)}}))
-            yield pd.DataFrame({"h3": ids, "feature": out})
+            yield pd.DataFrame({"h3": ids, "feature": out}, dtype=object)
 
     return rows.mapInPandas(make, "h3 string, feature string")

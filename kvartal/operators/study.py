@@ -22,6 +22,27 @@ def unit_summary(listings: DataFrame, panel: DataFrame) -> DataFrame:
     return cells.crossJoin(total).select("n_cells", "panel_rows", (F.col("kept") / F.col("all") * 100).alias("retained_pct"), "median_months", "cells_ge_12_months_pct")  # one row each
 
 
+def evaluate_unit(name: str, listings: DataFrame, centres: DataFrame, edges: DataFrame, block, min_listings: int = 3, splits: int | None = None, **trees) -> DataFrame:
+    """One row for a unit of analysis: summary, variance within, and skill over the naive prediction in time and in space.
+
+    ``listings`` carry the cell as ``h3``; ``centres``: h3, lat, lon; ``block``:
+    Column of a cell's coarse block.  ``splits`` limits the walk-forward part to the last so many.
+    """
+    from kvartal.operators import features, models, panel, validation
+    from kvartal.sources.tables import stored
+
+    table = stored(panel.build_panel(listings, min_listings=min_listings), "unit-panel")
+    fm = stored(features.feature_matrix(table, centres, edges), "unit-features")
+    months = sorted(r["month"] for r in fm.select("month").distinct().collect())  # the calendar's months
+    plan = validation.walk_forward_splits(months)
+    forward = models.against_naive(models.evaluate_walk_forward(fm, features.FEATURES, "price_azn_m2_median", plan[-splits:] if splits else plan, **trees))
+    folds = validation.block_folds(table, block)
+    space = models.against_naive(models.evaluate_folds(fm, features.FEATURES, "price_azn_m2_median", folds, exclude=["nbr_price_prev_month"], **trees))
+    gain = lambda df, n: df.select(validation.skill(F.col("mae"), F.col("naive_mae")).alias(n))
+    parts = unit_summary(listings, table).crossJoin(within_variance_share(listings)).crossJoin(gain(forward, "wf_skill")).crossJoin(gain(space, "skill"))  # one row each
+    return parts.select(F.lit(name).alias("name"), "*")
+
+
 def viable(study: DataFrame, least_retained: float = 60.0, least_months: float = 12) -> DataFrame:
     """Units with enough data and history, the best skill first."""
     return study.where((F.col("retained_pct") >= least_retained) & (F.col("median_months") >= least_months)).orderBy(F.desc("skill"), "name")

@@ -107,7 +107,7 @@ def test_ward_keeps_groups_contiguous():
     edges = np.array([(i, i + 1) for i in range(5)])
     labels = ward_labels(x, edges, 3)
     assert labels[0] == labels[1] and labels[2] == labels[3] and labels[4] == labels[5] and len(set(labels)) == 3
-    assert share_out([10, 5, 1], 8) == [5, 2, 1] and share_out([2, 1], 9) == [2, 1] and sum(share_out([40, 30, 30], 10)) == 10
+    assert share_out([10, 5, 1], 8) == [4, 3, 1] and share_out([2, 1], 9) == [2, 1] and sum(share_out([40, 30, 30], 10)) == 10
 
 
 def test_land_and_clipping(spark):
@@ -121,3 +121,29 @@ def test_land_and_clipping(spark):
     out = {r["h3"]: json.loads(r["feature"]) for r in cells_geojson(boxes).collect()}
     ring = out["in"]["geometry"]["coordinates"][0]
     assert set(out) == {"in"} and ring[0] == ring[-1] and 49 < ring[0][0] < 51
+
+
+def test_regions_and_zones(spark):
+    import json
+
+    from kvartal.operators.clustering import assign_regions, zone_features
+
+    members = spark.createDataFrame([("a", "r1"), ("b", "r1"), ("c", "r2")], "cell string, region string")
+    centres = spark.createDataFrame([("a", 40.0, 49.0), ("b", 40.0, 49.2), ("c", 41.0, 50.0)], "cell string, lat double, lon double")
+    points = spark.createDataFrame([(1, "a", 40.0, 49.0), (2, "new", 40.9, 50.0), (3, "new", 40.0, 49.1), (4, "c", 0.0, 0.0)], "id int, cell string, lat double, lon double")
+    assert {r["id"]: r["region"] for r in assign_regions(points, members, centres).collect()} == {1: "r1", 2: "r2", 3: "r1", 4: "r2"}
+    boxes = spark.createDataFrame([("x", 0.0, 1.0, 2.0, 3.0), ("y", 1.0, 2.0, 2.0, 3.0)], "h3 string, lat_min double, lat_max double, lon_min double, lon_max double")
+    zones = spark.createDataFrame([("x", 0, "Zone 1"), ("y", 0, "Zone 1")], "h3 string, zone int, zone_name string")
+    shape = json.loads(zone_features(boxes, zones).first()["feature"])
+    assert len(shape["geometry"]["coordinates"]) == 2 and shape["geometry"]["coordinates"][0][0][0] == [2.0, 0.0]
+
+
+def test_image_hash(spark):
+    from kvartal.functions.imagehash import phash
+
+    rng = np.random.default_rng(0)
+    grey = np.clip(np.cumsum(rng.normal(0, 9, (64, 64)), axis=1) + 128, 0, 255).astype(np.uint8)
+    pgm = lambda a: b"P5 64 64 255\n" + a.tobytes()
+    rows = [(0, bytearray(pgm(grey))), (1, bytearray(pgm(np.clip(grey.astype(int) + 3, 0, 255).astype(np.uint8)))), (2, bytearray(b"no image")), (3, None)]
+    got = [r["h"] for r in spark.createDataFrame(rows, "i int, content binary").select("i", phash(F.col("content")).alias("h")).orderBy("i").collect()]
+    assert len(got[0]) == 16 and bin(int(got[0], 16) ^ int(got[1], 16)).count("1") <= 6 and got[2:] == ["", ""]
