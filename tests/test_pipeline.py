@@ -61,3 +61,17 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n_listings) from cells").first()[0] == 60
+
+
+def test_evaluation_of_a_unit(spark, generated):
+    from kvartal.operators.graph import restrict
+    from kvartal.operators.study import evaluate_unit
+
+    listings, _ = generated
+    grid = HexGrid(edge_km=6.0)
+    rows = listings.withColumn("h3", grid.cell(F.col("lat"), F.col("lon")))
+    cells = rows.select("h3").distinct()
+    lat, lon = grid.centroid(F.col("h3"))
+    centres = cells.select("h3", lat.alias("lat"), lon.alias("lon"))
+    got = evaluate_unit("hex6", rows, centres, restrict(grid.neighbours(cells), cells), grid.block(F.col("h3")), splits=1, maxIter=2, maxDepth=3).first()
+    assert got["name"] == "hex6" and got["n_cells"] > 5 and 0 < got["retained_pct"] <= 100 and got["wf_skill"] < 1 and got["skill"] < 1
