@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,21 +44,37 @@ def part_of(key, parts: int):
     return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
+def _unique(batches):
+    """Keys of an input partition once for each half million or so, so that a key that very many rows hold is shuffled few times."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch.column("k").to_numpy())
+        count += batch.num_rows
+        if count >= 500_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["k"])
+            held, count = [], 0
+    if count:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["k"])
+
+
+def _parted(keys: DataFrame, parts: int) -> DataFrame:
+    few = keys.select("k").mapInArrow(_unique, "k long")
+    return few.select("k", part_of("k", parts).alias("part"))
+
+
 def build(keys: DataFrame, parts: int) -> DataFrame:
-    """One filter per partition for column ``k``; a partition gets its distinct keys only."""
-    rows = keys.select("k", part_of("k", parts).alias("part")).distinct()
-    return rows.groupBy("part").applyInPandas(lambda pdf: pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [make_bits(pdf["k"].to_numpy())]}), SCHEMA)
+    """One filter per partition for column ``k``."""
+    return _parted(keys, parts).groupBy("part").applyInPandas(lambda pdf: pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [make_bits(pdf["k"].to_numpy())]}), SCHEMA)
 
 
 def screen(keys: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
     """Distinct keys ``k`` that some filter of their partition may hold."""
-    rows = keys.select("k", part_of("k", parts).alias("part")).distinct()
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        k = left["k"].to_numpy(dtype=np.int64)
+        k = np.unique(left["k"].to_numpy(dtype=np.int64))
         seen = np.zeros(len(k), dtype=bool)
         for bits in right["bits"]:
             seen |= may_hold(bits, k)
         return pd.DataFrame({"k": k[seen]})
 
-    return rows.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(probe, "k long")
+    return _parted(keys, parts).groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(probe, "k long")

@@ -183,18 +183,17 @@ class AcceptedStore:
         against it speaks against them.
         """
         key = ["lid", "moment", "setid"]
-        firsts = batch.groupBy(*key).agg(F.min("seq").alias("seq"), F.min_by("row_no", "seq").alias("row_no"), F.min_by("tokens", "seq").alias("tokens"))
-        rows_all = stored(firsts, "delivery")
-        sets = stored(rows_all.where("setid is not null").groupBy("setid").agg(F.first("tokens").alias("tokens")), "sets")
+        rows = stored(batch.groupBy(*key).agg(F.min("seq").alias("seq"), F.min_by("row_no", "seq").alias("row_no")), "delivery")
+        sets = stored(batch.where("setid is not null").groupBy("setid").agg(F.first("tokens").alias("tokens")), "sets")
         self.hot = np.union1d(self.hot, hot_tokens(sets, "tokens"))
         probes = stored(sets.select("setid", "tokens").mapInArrow(_fingerprints(self.hot, True), FP_SCHEMA), "probes")
-        rows = rows_all.select("seq", "row_no", "lid", "moment", "setid")
         if self.ingests:
             rows = stored(rows.join(self._refused_by_history(rows, sets, probes), "seq", "left_anti"), "open")
         index = sets.select("setid", "tokens").mapInArrow(_fingerprints(self.hot, False), FP_SCHEMA)
         alive = rows.where("setid is not null").select("setid").distinct()
         near = _similar(probes.join(alive, "setid", "left_semi"), index.join(alive, "setid", "left_semi"), sets, sets)
-        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(alive.select(F.col("setid").alias("a"), F.col("setid").alias("b")))
+        ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+        both = near.select(ways.alias("w")).select("w.a", "w.b").unionByName(alive.select(F.col("setid").alias("a"), F.col("setid").alias("b")))
         links = stored(both.distinct(), "links")
         accepted = rows.join(self._settle(rows, links), "seq", "left_semi")
         self._append("rows", accepted.select("row_no", "seq", "lid", "moment", "setid"))

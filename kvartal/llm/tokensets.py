@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: a photo is its key of 16 hex digits in the address, in either case.
-PHOTO_KEY = r"(?<![0-9a-f])([0-9a-f]{16})(?![0-9a-f])"
+PHOTO_KEY = r"(?<![0-9a-fA-F])([0-9a-fA-F]{16})(?![0-9a-fA-F])"
 #: Most tokens that count as hot; more can't lie above the threshold that hot_tokens takes.
 HOT_BOUND = 100_000
 
 
 def photo_keys(photos: Column) -> Column:
     """Sorted distinct photo keys as 64-bit numbers; empty for NULL, an empty list, or addresses without a key."""
-    key = lambda p: F.conv(F.regexp_extract(F.lower(p), PHOTO_KEY, 1), 16, -10).cast("bigint")
-    return F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform(photos, key), lambda k: k.isNotNull()))), F.array().cast("array<bigint>"))
+    key = lambda p: F.conv(F.regexp_extract(p, PHOTO_KEY, 1), 16, -10).cast("bigint")
+    return F.coalesce(F.sort_array(F.array_distinct(F.filter(F.transform(photos, key), lambda k: k.isNotNull()))), F.array().cast("array<bigint>"))
 
 
 def mix(tokens: np.ndarray, seed: int) -> np.ndarray:
