@@ -12,6 +12,7 @@ from kvartal.llm.page_spam import spam_pages
 from kvartal.llm.quantile_sketch import percentiles_by_batch
 from kvartal.llm.tokens import token_ids
 from kvartal.operators.units import prices_in_manat
+from kvartal.plans.listing_problems import PRICES
 from kvartal.sources.tables import stored, table
 
 
@@ -52,6 +53,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 SQL = {
+    "p3_found": f"""
+WITH RECURSIVE {PRICES},
+k AS (SELECT DISTINCT row_no, listing_id, lower(regexp_extract(p, '[0-9a-fA-F]{{16}}')) AS k FROM (SELECT row_no, listing_id, unnest(photos) AS p FROM listings) WHERE regexp_matches(p, '[0-9a-fA-F]{{16}}')),
+n AS (SELECT row_no, count(*) AS n FROM k GROUP BY 1),
+f AS (SELECT l.row_no, l.listing_id, l.area, l.lat, written * CASE WHEN short THEN 1000 ELSE 1 END AS price FROM listings l LEFT JOIN d USING (row_no)),
+pr AS (SELECT a.row_no AS x, b.row_no AS y, count(*) AS c FROM k a JOIN k b ON a.k = b.k AND a.listing_id < b.listing_id GROUP BY 1, 2),
+e AS (SELECT DISTINCT u.listing_id AS a, v.listing_id AS b FROM pr JOIN n nx ON nx.row_no = x JOIN n ny ON ny.row_no = y JOIN f u ON u.row_no = x JOIN f v ON v.row_no = y
+      WHERE 2 * c >= nx.n + ny.n - c AND coalesce(abs(u.area - v.area) <= 0.05 * greatest(u.area, v.area), true)
+        AND coalesce(abs(u.price - v.price) <= 0.1 * greatest(u.price, v.price), true) AND coalesce(abs(u.lat - v.lat) <= 0.001, true)),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+g AS (SELECT a AS id, b AS other FROM s UNION SELECT g.id, s.b FROM g JOIN s ON s.a = g.other)
+SELECT id AS listing_id_a, other AS listing_id_b FROM g WHERE id < other
+""",
     # Exact as long as a group's values fit the buffers without a collapse, as they do up to sf0.1.
     "p6_percentiles": """
 WITH r AS (
