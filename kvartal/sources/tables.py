@@ -35,9 +35,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -53,3 +58,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this application put into the shared folder; results that still read them must be written before."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)

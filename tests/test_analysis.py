@@ -177,3 +177,16 @@ def test_artifacts(spark, tmp_path):
     write_documents(str(tmp_path), {"metrics": {"a": float("nan"), 1: np.float64(2), "r": spark.range(1).first()}})
     got = load_artifacts(spark, str(tmp_path), ["panel", "metrics", "absent"])
     assert got["panel"].count() == 3 and got["metrics"] == {"a": None, "1": 2.0, "r": {"id": 0}} and "absent" not in got and plain([float("inf")]) == [None]
+
+
+def test_work_tables_are_released(spark, tmp_path):
+    import os
+
+    from kvartal.sources.tables import _made, first_existing, release, stored
+
+    kept = _made.pop(spark.sparkContext.applicationId, [])
+    assert stored(spark.range(5), "x").count() == 5
+    path = _made[spark.sparkContext.applicationId][0].removeprefix("file://")
+    assert os.path.isdir(path) and release(spark) == 1 and not os.path.exists(path) and release(spark) == 0
+    _made[spark.sparkContext.applicationId] = kept
+    assert first_existing(spark, [str(tmp_path / "none.parquet")], "a int").columns == ["a"]
