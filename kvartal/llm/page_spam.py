@@ -3,15 +3,20 @@
 A page is cut into links, tags, lines of facts and stretches of text.  Each
 stretch is judged as sentence or not by its share of function words, by its
 separators, by how it ends, and by how far its words, and those around it,
-repeat.  What counts as usual is measured on the whole corpus for each language.
-A page is named if links, tags and stretches that are no sentences make up more
-than half of its letters.
+repeat.  Over the whole page, the share of its top word, of n-grams seen before
+and of duplicate lines tell whether it repeats; the stretches of a page that
+does need more function words, and those with its top word are no sentences.
+Short stretches that show neither function word nor predicate are no sentences
+where they make up most of the page.  What counts as usual is measured on the
+whole corpus for each language.  A page is named if links, tags and stretches
+that are no sentences make up more than half of its letters.
 """
 
 from __future__ import annotations
 
 import html
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 import regex
@@ -40,6 +45,13 @@ FUNCTION_WORDS = {
     "tr": "ama artık bazen bile bir boyunca bu çok çünkü da daha de değil en gibi göre her hiç için ilk ise kadar ki ne oldu olarak orada oysa önce sadece son sonra üzerinde var ve yılında zaten",
 }
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_ALL_WORDS = frozenset().union(*_WORDS.values())
+# Endings of predicates, in the Turkic languages where a clause ends, in Russian anywhere.
+PREDICATE = regex.compile(
+    r"(?:\w{2}(?:[dt][ıiuü]r|[ıiuü]r|yor|[dt][ıiuü]|[ıiuü]b|m[ıiuü]ş|[ae]c[ae]k|acaq|əcək)(?:l[aəe]r)?|\b(?:bilər|bilmər|olar|olmaz|yox|değil))[»\")\]]*\s*[,;:.!?…]"
+    r"|\w{2}(?:[аяеую]ет|[аяую]ют|[аеу]ёт|[еёия]тся|[ую]тся|[аяиеы]л(?:ся|[аои]сь))\b|\w{3}(?:[аяиы]ли|[аяиы]ло)\b",
+    regex.I,
+)
 #: Words after which a stretch is compared for repetition together with its neighbours.
 WINDOW_WORDS = 40
 #: Multiples of the usual figures of a language: share of function words, separators a word, distinct words in a stretch and in a window.
@@ -47,8 +59,21 @@ FACTORS = {"fw": 0.25, "sep": 2.7, "distinct": 0.85, "window": 0.65}
 #: Figures taken where a language has fewer than LEAST sentences.
 USUAL = {"fw": 0.2, "sep": 0.125, "distinct": 0.89, "window": 0.77}
 LEAST = 200
-SCHEMA = "doc long, lang string, parts array<struct<kind: string, n: int, words: int, fw: double, sep: double, distinct: double, ends: boolean, shouts: boolean, even: boolean, window: double>>"
-_PART = pa.struct([("kind", pa.string()), ("n", pa.int32()), ("words", pa.int32()), ("fw", pa.float64()), ("sep", pa.float64()), ("distinct", pa.float64()), ("ends", pa.bool_()), ("shouts", pa.bool_()), ("even", pa.bool_()), ("window", pa.float64())])
+#: Measured figures count within these, so that a language of mostly keywords isn't its own measure; that of function words only where they are listed.
+BOUNDS = {"fw": (0.1, 0.5), "sep": (0.08, 0.2), "distinct": (0.8, 1.0), "window": (0.65, 0.85)}
+#: Multiples of the usual shares of a page of sentences (its top word, n-grams seen before, duplicate lines), and the least limits.
+PAGE_FACTORS = {"top": 2.5, "gram": 2.0, "dup": 2.0}
+PAGE_FLOORS = {"top": 0.08, "gram": 0.3, "dup": 0.2}
+#: Shares taken where a language has fewer than LEAST pages of sentences.
+PAGE_USUAL = {"top": 0.04, "gram": 0.2, "dup": 0.0}
+#: Words of an n-gram, and words from which a page has the three shares.
+GRAM, PAGE_WORDS = 3, 30
+#: Times from which a word can be a top word.
+TOP_TIMES = 5
+#: Times the least share of function words that the stretches of a repeating page need.
+REPEATING = 2.0
+SCHEMA = "doc long, lang string, top double, gram double, dup double, parts array<struct<kind: string, n: int, words: int, fw: double, sep: double, distinct: double, ends: boolean, shouts: boolean, even: boolean, window: double, says: boolean, top: boolean>>"
+_PART = pa.struct([("kind", pa.string()), ("n", pa.int32()), ("words", pa.int32()), ("fw", pa.float64()), ("sep", pa.float64()), ("distinct", pa.float64()), ("ends", pa.bool_()), ("shouts", pa.bool_()), ("even", pa.bool_()), ("window", pa.float64()), ("says", pa.bool_()), ("top", pa.bool_())])
 
 
 def _letters(text: str) -> int:
@@ -59,8 +84,8 @@ def _lower(text: str) -> str:
     return text.replace("İ", "i").lower()
 
 
-def _part(kind, n, words=1, fw=0.0, sep=0.0, distinct=1.0, ends=False, shouts=False, even=False, window=1.0):
-    return {"kind": kind, "n": n, "words": words, "fw": fw, "sep": sep, "distinct": distinct, "ends": ends, "shouts": shouts, "even": even, "window": window}
+def _part(kind, n, words=1, fw=0.0, sep=0.0, distinct=1.0, ends=False, shouts=False, even=False, window=1.0, says=False, top=False):
+    return {"kind": kind, "n": n, "words": words, "fw": fw, "sep": sep, "distinct": distinct, "ends": ends, "shouts": shouts, "even": even, "window": window, "says": says, "top": top}
 
 
 def _is_row(line: str) -> bool:
@@ -69,10 +94,28 @@ def _is_row(line: str) -> bool:
     return 3 <= len(cells) <= 8 and sum(bool(NUMBER_CELL.match(c)) for c in cells) >= 2
 
 
-def page_parts(text: str) -> tuple[str, list[dict]]:
-    """Language by function words ('' if they show none) and the parts of a page."""
+def page_shares(lines: list[tuple[str, int]], stretches: list[tuple[dict, list[str]]]) -> dict[str, float]:
+    """Shares of a page's text: its top word, n-grams seen before, letters of duplicate lines; marks the stretches with the top word."""
+    words = [x for _, ws in stretches for x in ws]
+    if len(words) < PAGE_WORDS:
+        return {"top": 0.0, "gram": 0.0, "dup": 0.0}
+    counts = Counter(x for x in words if len(x) > 2 and x not in _ALL_WORDS)
+    word, most = max(counts.items(), key=lambda t: (t[1], t[0]), default=("", 0))
+    for p, ws in stretches:
+        p["top"] = word in ws
+    grams = list(zip(*(words[i:] for i in range(GRAM))))
+    seen, again = set(), 0
+    for line, n in lines:
+        again += n if line in seen else 0
+        seen.add(line)
+    return {"top": most / len(words) if most >= TOP_TIMES else 0.0, "gram": 1 - len(set(grams)) / len(grams), "dup": again / sum(n for _, n in lines)}
+
+
+def page_parts(text: str) -> tuple[str, list[dict], dict[str, float]]:
+    """Language by function words ('' if they show none), the parts of a page, and its page_shares."""
     text = INVISIBLE.sub("", unicodedata.normalize("NFKC", html.unescape(text)))
     parts, hits, near, near_words = [], dict.fromkeys(_WORDS, 0), [], []
+    lines, stretches = [], []
 
     def close():
         if near:
@@ -100,6 +143,7 @@ def page_parts(text: str) -> tuple[str, list[dict]]:
         if not links and not tags and (FACT.match(line) or _is_row(line)):
             parts.append(_part("fact", n))
             continue
+        lines.append((" ".join(_lower(rest).split()), n))
         for stretch in SENTENCE_GAP.split(rest):
             if not (n := _letters(stretch)):
                 continue
@@ -112,25 +156,33 @@ def page_parts(text: str) -> tuple[str, list[dict]]:
             end = SENTENCE_END.search(stretch)
             capitals = 0 if stretch.upper() == stretch else sum(x[0].isupper() for x in raw[1:])
             begins = bool(raw) and (raw[0][0].isupper() or stretch.strip()[:1].isdigit())
-            p = _part("text", n, len(words), max(own.values()) / k, len(SEPARATOR.findall(stretch)) / k, len(set(words)) / k, bool(end), bool(end) and "!" in end.group(0), begins and capitals <= 2)
+            p = _part("text", n, len(words), max(own.values()) / k, len(SEPARATOR.findall(stretch)) / k, len(set(words)) / k, bool(end), bool(end) and "!" in end.group(0), begins and capitals <= 2, says=bool(PREDICATE.search(stretch)))
             parts.append(p)
+            stretches.append((p, words))
             near.append(p)
             near_words.append(words)
             if sum(map(len, near_words)) >= WINDOW_WORDS:
                 close()
     close()
     best = max(hits, key=hits.get)
-    return (best if hits[best] else ""), parts
+    return (best if hits[best] else ""), parts, page_shares(lines, stretches)
 
 
 def _read(batches):
     for batch in batches:
-        langs, parts = [], []
+        langs, parts, shares = [], [], {c: [] for c in PAGE_USUAL}
         for text, said in zip(batch.column("text").to_pylist(), batch.column("said").to_pylist()):
-            lang, p = page_parts(text)
+            lang, p, s = page_parts(text)
             langs.append(lang or said)
             parts.append(p)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(langs), pa.array(parts, type=pa.list_(_PART))], names=["doc", "lang", "parts"])
+            for c, v in s.items():
+                shares[c].append(v)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(langs, pa.string()), *[pa.array(v, pa.float64()) for v in shares.values()], pa.array(parts, type=pa.list_(_PART))], names=["doc", "lang", *shares, "parts"])
+
+
+def _listed(lang: Column) -> Column:
+    """Whether a text of the language would show its function words; one without any language counts."""
+    return lang.isin("", *FUNCTION_WORDS)
 
 
 def usual_figures(pages: DataFrame) -> DataFrame:
@@ -140,12 +192,23 @@ def usual_figures(pages: DataFrame) -> DataFrame:
         F.count("*").alias("stretches"), F.percentile_approx("p.fw", 0.5, 1000).alias("fw"), F.percentile_approx("p.sep", 0.9, 1000).alias("sep"),
         F.percentile_approx("p.distinct", 0.1, 1000).alias("distinct"), F.percentile_approx("p.window", 0.1, 1000).alias("window"),
     )
-    return figures.select("lang", *[F.when(F.col("stretches") >= LEAST, F.col(c)).otherwise(F.lit(v)).alias("usual_" + c) for c, v in USUAL.items()])
+    bound = {c: F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high)) for c, (low, high) in BOUNDS.items()}
+    bound["fw"] = F.when(_listed(F.col("lang")), bound["fw"]).otherwise(F.col("fw"))
+    return figures.select("lang", *[F.when(F.col("stretches") >= LEAST, bound[c]).otherwise(F.lit(v)).alias("usual_" + c) for c, v in USUAL.items()])
+
+
+def usual_shares(pages: DataFrame) -> DataFrame:
+    """For each language, over the pages most of whose letters are in stretches that end like sentences: the shares that PAGE_FACTORS multiplies."""
+    number = lambda test: F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.when(test(p), p["n"]).otherwise(0))
+    whole = pages.where(number(lambda p: p["ends"] & (p["words"] >= 8)) * 2 > number(lambda p: F.lit(True)))
+    shares = whole.groupBy("lang").agg(F.count("*").alias("whole"), *[F.percentile_approx(c, 0.9, 1000).alias(c) for c in PAGE_USUAL])
+    return shares.select("lang", *[F.when(F.col("whole") >= LEAST, F.col(c)).otherwise(F.lit(v)).alias("usual_" + c) for c, v in PAGE_USUAL.items()])
 
 
 def _is_sentence(p: Column, limits: dict[str, Column]) -> Column:
-    repeats = ((p["words"] >= 6) & (p["distinct"] < limits["distinct"])) | (p["window"] < limits["window"])
-    whole = p["ends"] & ((p["fw"] >= limits["fw"]) | ((p["words"] <= 20) & (~p["shouts"] | p["even"])))
+    repeats = ((p["words"] >= 6) & (p["distinct"] < limits["distinct"])) | (p["window"] < limits["window"]) | (F.col("tops") & p["top"])
+    short = (p["words"] <= 20) & (~p["shouts"] | p["even"]) & ~F.col("repeating")
+    whole = p["ends"] & ((p["fw"] >= limits["fw"] * F.when(F.col("repeating"), REPEATING).otherwise(1.0)) | (short & (p["says"] | ~F.col("bare"))))
     cut = ~p["ends"] & (p["words"] >= 5) & (p["fw"] >= 1.6 * limits["fw"])
     return (p["kind"] == "text") & (p["words"] >= 4) & ~repeats & (p["sep"] <= limits["sep"]) & (whole | cut)
 
@@ -160,12 +223,15 @@ def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     """
     said = F.coalesce(F.substring(F.lower(lang), 1, 2), F.lit(""))
     pages = stored(docs.where(F.length(F.trim(text)) > 0).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), said.alias("said")).mapInArrow(_read, SCHEMA), "pages")
-    figures = usual_figures(pages)
+    figures = usual_figures(pages).join(usual_shares(pages), "lang", "full")
     limits = {c: F.col("usual_" + c) * f for c, f in FACTORS.items()}
     number = lambda test: F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.when(test(p), p["n"]).otherwise(0))
     judged = pages.join(F.broadcast(figures), "lang", "left")  # one row per language that function words or two letters name
-    judged = judged.select("doc", "lang", "parts", *[F.coalesce("usual_" + c, F.lit(v)).alias("usual_" + c) for c, v in USUAL.items()])
+    judged = judged.select("doc", "lang", "parts", *PAGE_USUAL, *[F.coalesce("usual_" + c, F.lit(v)).alias("usual_" + c) for c, v in {**USUAL, **PAGE_USUAL}.items()])
+    beyond = {c: F.col(c) > F.greatest(F.lit(PAGE_FLOORS[c]), F.col("usual_" + c) * f) for c, f in PAGE_FACTORS.items()}
     total = number(lambda p: F.lit(True))
+    bare = number(lambda p: (p["kind"] == "text") & p["ends"] & (p["words"] >= 4) & (p["words"] <= 20) & (p["fw"] < limits["fw"]) & ~p["says"])
+    judged = judged.select("*", beyond["top"].alias("tops"), (beyond["gram"] | beyond["dup"]).alias("repeating"), (_listed(F.col("lang")) & (2 * bare > total)).alias("bare"))
     fair = number(lambda p: (p["kind"] == "fact") | _is_sentence(p, limits))
     share = judged.select("doc", "lang", total.alias("total"), fair.alias("fair")).where("total > 0").select(F.col("doc").alias(doc_id), (1 - F.col("fair") / F.col("total")).alias("spam_share"), F.col("lang").alias("page_lang"))
     return share.where("spam_share > 0.5")

@@ -111,3 +111,17 @@ def test_spam_pages(spark):
     got = {r["doc_id"] for r in spam_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string, spam_share string")).collect()}
     assert got == set(spam)
     assert spam_pages(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_spam_pages_whole_page(spark):
+    az = ["ucuz mənzil satılıq ev kirayə ofis qaraj torpaq villa bağ otaq bina lift təmir kredit.", "yeni tikili ipoteka obyekt mağaza anbar studiya penthaus hovuz həyət park metro mərkəz sahil bulvar.", "günlük icarə həftəlik qonaq mehmanxana hostel döşək mebel kombi mətbəx balkon eyvan parket laminat kafel."]
+    ru = "Купить квартиру продажа аренда дом дача участок офис гараж недорого срочно."
+    salted = "villa with pool villa near sea villa in centre villa for family villa at park and cheap villa on coast to order villa from owner."
+    spam = {1: "\n".join(az * 30), 2: " ".join(az * 30), 3: az[0], 4: ru, 5: "Cheap flat sale rent villa office garage land house studio Baku centre.", 6: "\n".join([ru] * 20), 7: " ".join([salted.replace("pool", w) for w in ("pool", "lift", "garage", "yard")] * 5)}
+    prose = "Bina komitəsi keçən payız ilk qiymətdən imtina etdi, bu da qonşuları təəccübləndirdi. Ən yaxın dayanacağa piyada 5 dəqiqəyə çatmaq mümkündür. Həyət gözətçisi yağışdan sonra darvazanın yanında ağac əkdi, çünki yol təzəcə açılmışdı."
+    fair = {
+        20: "Çinarlı Düz qəsəbəsində 5 otaqlı mənzil satılır, ümumi sahəsi 79 kvadratmetrdir.", 21: "Кухня отдельная, около 22 метров, покупателю остаётся кондиционер.", 22: "Qiymət 501 200 manatdır, real alıcıya cüzi güzəşt oluna bilər.",
+        23: "PALIDKƏND SEMTINDE 2 ODALI DAIRE SATILIKTIR. DAIRE YENILENDI.", 24: "\n".join([prose] * 30), 25: prose + "\n" + az[0],
+    }
+    got = {r["doc_id"] for r in spam_pages(spark.createDataFrame([(i, t, "ru" if i == 21 else None) for i, t in {**spam, **fair}.items()], "doc_id long, text string, lang string")).collect()}
+    assert got == set(spam)
