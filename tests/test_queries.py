@@ -52,3 +52,13 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_duplicate_map_links_by_text_too(spark, tmp_path):
+    flat = {"source": "s", "h3": "c", "listed_month": "2024-01", "price_azn_m2": 2000.0, "area": 60.0, "lat": 40.4, "lon": 49.8, "rooms": 2, "floor": 3, "floors": 9, "building_type": "new", "image_phash": "", "location_name": "x"}
+    marks = {"A": "", "B": None, "C": "ff00ff00ff00ff00", "D": "ff00ff00ff00ff01", "E": ""}
+    rows = [{**flat, "row_no": i, "listing_id": k, "image_phash": v} for i, (k, v) in enumerate(marks.items())]
+    spark.createDataFrame(pd.DataFrame(rows).astype({"image_phash": object})).write.parquet(str(tmp_path / "listings.parquet"))
+    texts = [(1, "A", "a quiet flat with a view of the sea"), (2, "B", "a quiet flat with a view of the sea"), (3, "D", "A quiet flat with a view"), (4, "D", "of the sea"), (5, "E", "entirely other words here"), (6, None, "a quiet flat")]
+    spark.createDataFrame(texts, "doc_id long, listing_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in QUERIES["duplicate_map"](spark, str(tmp_path)).collect()} == {("B", "A"), ("C", "A"), ("D", "A")}
