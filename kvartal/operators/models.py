@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kvartal.operators.validation import metrics
 
-TREES = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+TREES = {"maxIter": 600, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 
 
 def _usable(df: DataFrame, features: list[str]) -> DataFrame:

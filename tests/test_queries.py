@@ -62,3 +62,15 @@ def test_duplicate_map_links_by_text_too(spark, tmp_path):
     texts = [(1, "A", "a quiet flat with a view of the sea"), (2, "B", "a quiet flat with a view of the sea"), (3, "D", "A quiet flat with a view"), (4, "D", "of the sea"), (5, "E", "entirely other words here"), (6, None, "a quiet flat")]
     spark.createDataFrame(texts, "doc_id long, listing_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in QUERIES["duplicate_map"](spark, str(tmp_path)).collect()} == {("B", "A"), ("C", "A"), ("D", "A")}
+
+
+def test_trees_walk_over_all_months(spark, monkeypatch):
+    from kvartal.operators import models, validation
+
+    calls = []
+    monkeypatch.setattr(models, "evaluate_walk_forward", lambda df, features, target, splits, **trees: calls.append((df, splits, trees)) or df)
+    QUERIES["tree_predictions"](spark, DATA)
+    df, splits, trees = calls[0]
+    months = sorted(r["month"] for r in df.select("month").distinct().collect())
+    assert splits == validation.walk_forward_splits(months) and [m for _, test in splits for m in test] == months[18:]
+    assert {**models.TREES, **trees} == {"maxIter": 600, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
