@@ -1,18 +1,14 @@
-"""Bloom filters kept as one bit array for each partition of the key space."""
+"""Bloom filters as bit arrays, one for each bucket of a key space."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kvartal.llm.tokensets import mix
 
-BITS_PER_KEY = 10
-HASHES = 5
-SCHEMA = "part int, bits binary"
+#: With these, a filter that holds as many keys as it was sized for lets 0.4 % of other keys through.
+BITS_PER_KEY = 12
+HASHES = 6
 
 
 def _places(keys: np.ndarray, size: int) -> np.ndarray:
@@ -21,60 +17,21 @@ def _places(keys: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(a + np.uint64(i) * b) % np.uint64(size) for i in range(HASHES)])
 
 
-def make_bits(keys: np.ndarray) -> bytes:
-    """A filter sized for its distinct keys."""
-    keys = np.unique(keys)
-    size = max(64, -(-len(keys) * BITS_PER_KEY // 64) * 64)
-    bits = np.zeros(size, dtype=bool)
-    bits[_places(keys, size).ravel()] = True
-    return np.packbits(bits).tobytes()
+def empty_bits(capacity: int) -> np.ndarray:
+    """A filter for so many keys."""
+    return np.zeros(max(8, -(-capacity * BITS_PER_KEY // 8)), dtype=np.uint8)
 
 
-def may_hold(bits: bytes, keys: np.ndarray) -> np.ndarray:
+def put(bits: np.ndarray, keys: np.ndarray) -> None:
+    """Set the bits of keys, in place."""
+    if len(keys):
+        at = _places(keys, len(bits) * 8).ravel()
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False only for keys that were never put in."""
     if not len(keys):
         return np.zeros(0, dtype=bool)
-    flags = np.frombuffer(bits, dtype=np.uint8)
-    at = _places(keys, len(flags) * 8)
-    return ((flags[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
-
-
-def part_of(key, parts: int):
-    """Partition of a key column."""
-    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-
-
-def _unique(batches):
-    """Keys of an input partition once for each half million or so, so that a key that very many rows hold is shuffled few times."""
-    held, count = [], 0
-    for batch in batches:
-        held.append(batch.column("k").to_numpy())
-        count += batch.num_rows
-        if count >= 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["k"])
-            held, count = [], 0
-    if count:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], names=["k"])
-
-
-def _parted(keys: DataFrame, parts: int) -> DataFrame:
-    few = keys.select("k").mapInArrow(_unique, "k long")
-    return few.select("k", part_of("k", parts).alias("part"))
-
-
-def build(keys: DataFrame, parts: int) -> DataFrame:
-    """One filter per partition for column ``k``."""
-    return _parted(keys, parts).groupBy("part").applyInPandas(lambda pdf: pd.DataFrame({"part": [pdf["part"].iloc[0]], "bits": [make_bits(pdf["k"].to_numpy())]}), SCHEMA)
-
-
-def screen(keys: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
-    """Distinct keys ``k`` that some filter of their partition may hold."""
-
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        k = np.unique(left["k"].to_numpy(dtype=np.int64))
-        seen = np.zeros(len(k), dtype=bool)
-        for bits in right["bits"]:
-            seen |= may_hold(bits, k)
-        return pd.DataFrame({"k": k[seen]})
-
-    return _parted(keys, parts).groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(probe, "k long")
+    at = _places(keys, len(bits) * 8)
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(axis=0)
