@@ -34,6 +34,22 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles_by_batch(table(spark, sf_dir, "listings"), ["h3", "listed_month"], "batch_no", "price_azn_m2", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
+def p6_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By cell, whether percentiles from buffers so small that they collapse lie within their rank error of the exact ranks."""
+    listings = table(spark, sf_dir, "listings").where("price_azn_m2 is not null").select("h3", "batch_no", "price_azn_m2")
+    shares = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    found = percentiles_by_batch(listings, ["h3"], "batch_no", "price_azn_m2", shares, size=16, fan=4)
+    # One row a cell is joined, so ranks are counts over the cell's rows.
+    ranks = listings.join(found, "h3").groupBy("h3", *shares, "n_values", "rank_error").agg(
+        *[F.count_if(F.col("price_azn_m2") < F.col(p)).alias("below_" + p) for p in shares], *[F.count_if(F.col("price_azn_m2") <= F.col(p)).alias("upto_" + p) for p in shares]
+    )
+    within = F.lit(True)
+    for p, share in shares.items():
+        rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("n_values") * share, 9)))
+        within = within & (F.col("below_" + p) + 1 - F.col("rank_error") <= rank) & (rank <= F.col("upto_" + p) + F.col("rank_error"))
+    return ranks.select("h3", "n_values", within.alias("within"), (F.col("rank_error") > 0).alias("collapsed"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, sf_dir, "documents"))
@@ -50,7 +66,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_percentiles": p6_percentiles, "p6_rank_errors": p6_rank_errors, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 SQL = {
     "p3_found": f"""
@@ -77,4 +93,6 @@ SELECT h3, listed_month, max(CASE WHEN k = greatest(1, ceil(n * 0.1)) THEN v END
        max(n)::BIGINT AS n_values, 0::BIGINT AS rank_error
 FROM r GROUP BY 1, 2
 """,
+    # Partial sketches have at least 64 values only of cells with more than that; all cells of the tables have.
+    "p6_rank_errors": "SELECT h3, count(price_azn_m2) AS n_values, true AS within, true AS collapsed FROM listings WHERE price_azn_m2 IS NOT NULL GROUP BY 1",
 }

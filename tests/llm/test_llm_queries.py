@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 def test_queries_run_with_stable_columns(spark, name):
     df = QUERIES[name](spark, DATA)
     want = {
-        "p3_found": ["listing_id_a", "listing_id_b"], "p4_found": ["row_no"], "p6_percentiles": ["h3", "listed_month", "p10", "p50", "p90", "n_values", "rank_error"], "p7_ids": ["doc_id", "ids"],
+        "p3_found": ["listing_id_a", "listing_id_b"], "p4_found": ["row_no"], "p6_percentiles": ["h3", "listed_month", "p10", "p50", "p90", "n_values", "rank_error"], "p6_rank_errors": ["h3", "n_values", "within", "collapsed"], "p7_ids": ["doc_id", "ids"],
         "p8_containers": ["doc_id", "piece_no", "n_tokens", "container_id"], "p9_found": ["doc_id"],
     }
     assert df.columns == want[name] and df.count() > 0

@@ -125,3 +125,47 @@ def test_spam_pages_whole_page(spark):
     }
     got = {r["doc_id"] for r in spam_pages(spark.createDataFrame([(i, t, "ru" if i == 21 else None) for i, t in {**spam, **fair}.items()], "doc_id long, text string, lang string")).collect()}
     assert got == set(spam)
+
+
+def test_sketch_keys_keep_their_type(spark):
+    from datetime import datetime
+    from decimal import Decimal
+
+    at = datetime(2026, 1, 2, 3, 4, 5)
+    rows = [(1.5, 2**60 + 1, at, "a", Decimal("1.10"), 1.0), (1.7, 2**60 + 3, at, "a", Decimal("1.20"), 2.0), (float("nan"), None, None, None, None, 3.0), (float("nan"), None, None, None, None, 5.0), (-0.0, 7, at, "", None, 1.0), (0.0, 7, at, "", None, 9.0)]
+    df = spark.createDataFrame(rows, "f double, i long, t timestamp, s string, d decimal(9,2), v double").repartition(3)
+    n = lambda keys: {tuple("nan" if k != k else k for k in (r[c] for c in keys)): r["n_values"] for r in sketch_percentiles(partial_sketches(df, keys, "v"), keys, {"p50": 0.5}).collect()}
+    assert n(["f"]) == {(1.5,): 1, (1.7,): 1, ("nan",): 2, (0.0,): 2}
+    assert n(["i"]) == {(2**60 + 1,): 1, (2**60 + 3,): 1, (None,): 2, (7,): 2}
+    assert n(["t", "s"]) == {(at, "a"): 2, (None, None): 2, (at, ""): 2}
+    assert n(["d", "i"]) == {(Decimal("1.10"), 2**60 + 1): 1, (Decimal("1.20"), 2**60 + 3): 1, (None, None): 2, (None, 7): 2}
+
+
+def test_sketch_is_the_same_again_and_near_with_other_partitions(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 5).alias("b"), F.rand(7).alias("v"))
+    data = df.toPandas()
+
+    def run(parts):
+        cut = spark.createDataFrame(data).repartitionByRange(parts, "v") if parts > 1 else spark.createDataFrame(data).coalesce(1)
+        return {r["g"]: (r["p50"], r["rank_error"]) for r in percentiles_by_batch(cut, ["g"], "b", "v", {"p50": 0.5}, size=32, fan=4).collect()}
+
+    one, again, other = run(1), run(1), run(4)
+    assert one == again
+    for g, (v, err) in other.items():
+        mine = data[data["g"] == g]["v"]
+        for value, bound in ((v, err), one[g]):
+            assert 0 < bound < 0.2 * len(mine) and abs((mine <= value).sum() - len(mine) / 2) <= bound + 1
+
+
+def test_kept_batches_are_not_read_again(spark):
+    from kvartal.sources.tables import work_path
+
+    root = work_path(spark, "kept")
+    first = spark.createDataFrame([("a", 1, 1.0), ("a", None, 5.0)], "g string, b int, v double")
+    again = spark.createDataFrame([("a", 1, 100.0), ("a", 2, 9.0), ("b", 2, 2.0)], "g string, b int, v double")
+    ask = lambda df: {r["g"]: (r["p50"], r["n_values"]) for r in percentiles_by_batch(df, ["g"], "b", "v", {"p50": 0.5}, root).collect()}
+    assert ask(first) == {"a": (1.0, 2)}
+    assert ask(again) == {"a": (5.0, 3), "b": (2.0, 1)}
+    assert ask(again.limit(0)) == {"a": (5.0, 3), "b": (2.0, 1)}
