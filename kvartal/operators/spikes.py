@@ -53,29 +53,56 @@ def robust_components(data: np.ndarray, seen: np.ndarray, rank: int = RANK, roun
     return centre, low @ v, v, np.where(seen, sparse, 0.0)
 
 
-def _factors(pdf: pd.DataFrame) -> pd.DataFrame:
+def _usual(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Entries of a matrix with their usual log level, by at most CELLS_PER_MATRIX columns at a time."""
     days, i = np.unique(pdf["day"].to_numpy(), return_inverse=True)
     cells, j = np.unique(pdf["cell"].to_numpy().astype(str), return_inverse=True)
-    data, seen = np.zeros((len(days), len(cells))), np.zeros((len(days), len(cells)), dtype=bool)
-    data[i, j], seen[i, j] = pdf["level"].to_numpy(), True
-    centre, u, v, _ = robust_components(data, seen)
-    u, v = (np.pad(x, ((0, 0), (0, RANK - x.shape[1]))) for x in (u, v))
-    head = {k: pdf[k].iloc[0] for k in ("source", "field_name", "matrix")}
-    rows = pd.DataFrame({"day": days, "cell": None, "c": 0.0, "f1": u[:, 0], "f2": u[:, 1]})
-    cols = pd.DataFrame({"day": None, "cell": cells, "c": centre, "f1": v[:, 0], "f2": v[:, 1]})
-    return pd.concat([rows, cols]).assign(**head)[["source", "field_name", "matrix", "day", "cell", "c", "f1", "f2"]]
+    usual = np.empty(len(pdf))
+    for start in range(0, len(cells), CELLS_PER_MATRIX):
+        own = np.flatnonzero((j >= start) & (j < start + CELLS_PER_MATRIX))
+        rows, at = np.unique(i[own], return_inverse=True)
+        data = np.zeros((len(rows), min(CELLS_PER_MATRIX, len(cells) - start)))
+        seen = np.zeros(data.shape, dtype=bool)
+        data[at, j[own] - start], seen[at, j[own] - start] = pdf["level"].to_numpy()[own], True
+        centre, u, v, _ = robust_components(data, seen)
+        usual[own] = (centre + u @ v.T)[at, j[own] - start]
+    return pdf.assign(usual=usual)[["source", "field_name", "day", "cell", "low", "high", "usual"]]
 
 
 def daily_profiles(long: DataFrame) -> DataFrame:
-    """Factors of the usual log level by (source, field, day, cell), from robust components of each source's daily profiles.
+    """(source, field_name, day, cell, low, high, usual): the least and largest positive value of a day, and its usual log level.
 
-    A matrix has a row per day and a column per cell, at most
-    ``CELLS_PER_MATRIX`` of them, so its size doesn't grow with the rows.
+    Each source's daily profiles, of mean log values, make matrices with a row
+    per day and a column per cell; their low-rank part is the usual level.
     """
-    entries = long.where("value > 0").groupBy("source", "field_name", "matrix", "day", "cell").agg(F.avg(F.ln("value")).alias("level"))
-    return entries.groupBy("source", "field_name", "matrix").applyInPandas(
-        _factors, "source string, field_name string, matrix int, day int, cell string, c double, f1 double, f2 double"
-    )
+    entries = long.where("value > 0").groupBy("source", "field_name", "matrix", "day", "cell").agg(F.avg(F.ln("value")).alias("level"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return entries.groupBy("source", "field_name", "matrix").applyInPandas(_usual, "source string, field_name string, day int, cell string, low double, high double, usual double")
+
+
+def spiked_days(profiles: DataFrame, medians: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """(source, field_name, day, cell) whose sparse part may hold a value beyond the limit.
+
+    The sparse part of a day is how far its least and largest values lie from
+    the usual level.  A value beyond the limit is at least log(limit) from the
+    log median, so it is at least that less the distance of usual level and
+    median from the usual level: what this passes over holds no case.  Where
+    the median is not positive every day is named.
+    """
+    slack = F.ln(_limit(limits)) - F.abs(F.col("usual") - F.ln("median")) - 1e-9
+    spiked = (F.ln("high") - F.col("usual") >= slack) | (F.col("usual") - F.ln("low") >= slack) | (F.col("median") <= 0)
+    return profiles.join(_small(medians), ["field_name", "cell"]).where(spiked).select("source", "field_name", "day", "cell")
+
+
+def _limit(limits: dict[str, float]):
+    limit = F.lit(None).cast("double")
+    for name, ratio in limits.items():
+        limit = F.when(F.col("field_name") == name, F.lit(float(ratio))).otherwise(limit)
+    return limit
+
+
+def _small(t: DataFrame) -> DataFrame:
+    """``t``, broadcast if its rows, counted, are few."""
+    return F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
 
 
 def constant_runs(long: DataFrame, least: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -120,43 +147,33 @@ def implausible_readings(df: DataFrame, limits: dict[str, float], cell: str = "h
 
     Spikes are sought by robust principal components: each source's daily
     profiles (days by cells, of log values) are split into a low-rank usual
-    level and sparse spikes.  A row is a candidate if its distance from its
-    usual level, plus that level's distance from the log median of the cell,
-    reaches the log of the limit; by the triangle inequality no row beyond the
-    limit is missed.  Candidates are then held against the exact median.
+    level and a sparse part.  Only rows of :func:`spiked_days` are held against
+    the exact median.  Constant runs and impossible values are tested apart.
 
     NULL and NaN readings are passed over.  NULL sources and cells form groups
     of their own; rows whose ``updated_at`` is missing or unreadable form a day
     of their own.  Repeated rows count as successive rows.  Ties at a limit are
     cases.  An empty table gives an empty result; other columns are ignored.
     """
-    names = list(limits)
+    long = _long(df, list(limits), cell)
+    medians = stored(exact_group_median(long, ["field_name", "cell"], "value"), "medians")
+    days = stored(spiked_days(daily_profiles(long), medians, limits), "spiked-days")
+    suspects = long.where("value > 0").join(_small(days), ["source", "field_name", "day", "cell"], "left_semi")
+    limit = _limit(limits)
+    beyond = (F.col("value") <= F.col("median") / limit) | (F.col("value") >= F.col("median") * limit)
+    spikes = suspects.join(_small(medians), ["field_name", "cell"]).where(beyond).select("row_no", "field_name")
+    impossible = long.where("value <= 0").select("row_no", "field_name")
+    return spikes.unionByName(impossible).unionByName(constant_runs(long, stuck_rows)).distinct()
+
+
+def _long(df: DataFrame, names: list[str], cell: str) -> DataFrame:
+    """One row for each reading: row_no, source, cell, day, matrix, field_name, value."""
     pairs = ", ".join(f"'{n}', cast(`{n}` as double)" for n in names)
-    matrices = max(1, -(-df.select(cell).distinct().count() // CELLS_PER_MATRIX))
-    long = (
+    matrices = max(1, -(-2 * df.select(cell).distinct().count() // CELLS_PER_MATRIX))
+    return (
         df.select(
             "row_no", F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col(cell), F.lit("")).alias("cell"), F.coalesce(local_day(F.col("updated_at")), F.lit(-1)).alias("day"), *names
         )
         .select("row_no", "source", "cell", "day", F.pmod(F.xxhash64("cell"), F.lit(matrices)).cast("int").alias("matrix"), F.expr(f"stack({len(names)}, {pairs}) as (field_name, value)"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
     )
-    medians = stored(exact_group_median(long, ["field_name", "cell"], "value"), "medians")
-    profiles = stored(daily_profiles(long), "profiles")
-    days = profiles.where("day is not null").select("source", "field_name", "matrix", "day", F.col("f1").alias("u1"), F.col("f2").alias("u2"))
-    cells = profiles.where("cell is not null").select("source", "field_name", "cell", "c", F.col("f1").alias("v1"), F.col("f2").alias("v2"))
-    small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-    usual = F.coalesce(F.col("c") + F.col("u1") * F.col("v1") + F.col("u2") * F.col("v2"), F.ln("median"))
-    limit = F.lit(None).cast("double")
-    for name, ratio in limits.items():
-        limit = F.when(F.col("field_name") == name, F.lit(float(ratio))).otherwise(limit)
-    checked = (
-        long.join(small(medians), ["field_name", "cell"], "left")
-        .join(small(cells), ["source", "field_name", "cell"], "left")
-        .join(small(days), ["source", "field_name", "matrix", "day"], "left")
-        .withColumn("limit", limit)
-    )
-    spike = F.ln("value") - usual
-    candidate = (F.abs(spike) + F.abs(usual - F.ln("median")) >= F.ln("limit") - 1e-9) | (F.col("value") <= 0) | spike.isNull()
-    exact = (F.col("value") <= 0) | (F.col("value") <= F.col("median") / F.col("limit")) | (F.col("value") >= F.col("median") * F.col("limit"))
-    ranges = checked.where(candidate).where(exact).select("row_no", "field_name")
-    return ranges.unionByName(constant_runs(long, stuck_rows)).distinct()

@@ -76,3 +76,31 @@ def test_exact_median(spark, bins):
     d.loc[:3, "v"] = None
     got = {r["k"]: r["median"] for r in exact_group_median(spark.createDataFrame(d), ["k"], "v", bins).collect()}
     assert got == d.groupby("k")["v"].median().to_dict()
+
+
+def test_components_choose_what_is_held_against_medians(spark, monkeypatch):
+    from kvartal.operators import spikes
+    from kvartal.sources.tables import stored
+
+    rng = np.random.default_rng(8)
+    data = []
+    for i in range(6000):
+        price = float(1500 * np.exp(rng.normal(0, 0.1))) * (8 if rng.random() < 0.01 else 1)
+        data.append((i, f"s{i % 2}", f"c{i % 10}", f"2024-{1 + i % 12:02d}-{1 + i % 27:02d}T10:00:00+04:00", price, None, None, None))
+    df, limits = spark.createDataFrame(data, SCHEMA), {"price_azn_m2": 2.0}
+    want = brute(data, limits)
+    kept = []
+    real = spikes.spiked_days
+    monkeypatch.setattr(spikes, "spiked_days", lambda *a: kept.append(stored(real(*a), "days")) or kept[-1])
+    assert {(r["row_no"], r["field_name"]) for r in implausible_readings(df, limits).collect()} == want and want
+    long = spikes._long(df, ["price_azn_m2"], "h3")
+    held = long.join(kept[0], ["source", "field_name", "day", "cell"], "left_semi").count()
+    assert len(want) <= held < 0.1 * len(data)
+    monkeypatch.setattr(spikes, "daily_profiles", lambda long: spark.createDataFrame([], "source string, field_name string, day int, cell string, low double, high double, usual double"))
+    assert implausible_readings(df, limits).count() == 0
+
+
+def test_cells_whose_median_is_not_positive(spark):
+    data = [(i, "s", "c", None, float(v), None, None, None) for i, v in enumerate([-5, -4, -3, 0, 0, 2, 9])]
+    got = {r["row_no"] for r in implausible_readings(spark.createDataFrame(data, SCHEMA), {"price_azn_m2": 2.0}).collect()}
+    assert got == {r for r, _ in brute(data, {"price_azn_m2": 2.0})}
