@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvartal.functions.money import with_price
-from kvartal.operators.units import decode_scales, prices_in_manat, viterbi
+from kvartal.operators.units import STATES, STATES_WITH_BASIS, decode_units, moves, prices_in_manat, viterbi
 
 CASES = [
     ("136 000 manat", None, 136000.0, "AZN", 1.0, False), ("33.500", None, 33500.0, "AZN", 1.0, False), ("41400.00", "AZN", 41400.0, "AZN", 1.0, False), ("8 070 000 qəp.", None, 8070000.0, "AZN", 0.01, False),
@@ -40,7 +40,7 @@ def plain_viterbi(e, stay):
 def test_viterbi_in_chunks_is_the_plain_recursion(n):
     e = np.random.default_rng(n).normal(size=(n, 3)) * 3
     want, best = plain_viterbi(e, 0.9)
-    got = viterbi(e, 0.9, chunk=16)
+    got = viterbi(e, moves(0.9, 3), chunk=16)
     move = np.where(got[1:] == got[:-1], np.log(0.9), np.log(0.05)).sum() + e[np.arange(n), got].sum()
     assert move == pytest.approx(best - 0.0) or (got == want).all()
 
@@ -52,7 +52,7 @@ def test_scale_shows_only_in_the_size():
     r[hidden] -= 3
     said = np.zeros(2000, dtype=bool)
     said[:3], r[:3] = True, -3
-    state = decode_scales(r, said)
+    state = decode_units(r, said, np.tile(np.log10([s for s, _ in STATES]), (2000, 1)))
     assert (state[3:] == hidden[3:]).all() and (state[:3] == 0).all()
 
 
@@ -73,3 +73,44 @@ def test_prices_in_manat(spark):
 def test_no_rows(spark):
     fx = spark.createDataFrame([], "currency string, rate_month string, azn_per_unit double")
     assert prices_in_manat(listings(spark, []), fx).where(F.col("other_unit")).count() == 0
+
+
+def test_chain_decides_doubtful_rows_of_a_stretch():
+    rng = np.random.default_rng(3)
+    n, hidden = 6000, np.zeros(6000, dtype=bool)
+    for start in (700, 2500, 4800):
+        hidden[start : start + 400] = True
+    residual = rng.normal(0, 0.7, n) - 3 * hidden
+    shifts = np.tile(np.log10([s for s, _ in STATES]), (n, 1))
+    nearest = np.abs(residual[:, None] + shifts).argmin(axis=1)
+    chain = decode_units(residual, np.zeros(n, dtype=bool), shifts)
+    wrong_alone, wrong = (nearest != hidden).sum(), (chain != hidden).sum()
+    assert wrong_alone > 60 and wrong <= 6
+    doubtful = (np.abs(np.abs(residual) - 1.5) < 0.5) & (nearest != hidden)
+    assert (chain == hidden)[doubtful].mean() > 0.9
+
+
+def test_prices_of_a_feed_that_switches_for_a_stretch(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for i in range(3000):
+        hidden, total = 1000 <= i < 1400, int(1000 * round(100 * 10 ** rng.normal(0, 0.65) + 1))
+        rows.append((i, "a", "2024-01", "f", 80.0, str(total // 1000 if hidden else total), None, None))
+        want[i] = total
+    fx = spark.createDataFrame([], "currency string, rate_month string, azn_per_unit double")
+    got = {r["row_no"]: r["price_manat"] for r in prices_in_manat(listings(spark, rows), fx).collect()}
+    alone = sum(abs(np.log10(float(r[5])) - 5) > abs(np.log10(float(r[5])) + 3 - 5) for r in rows if not 1000 <= r[0] < 1400)
+    assert sum(got[i] != want[i] for i in want) <= alone // 4 and alone >= 2
+
+
+def test_hidden_basis(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for i in range(2000):
+        area = float(rng.integers(40, 160))
+        a_metre, per = int(1500 * 10 ** rng.normal(0, 0.1)), 500 <= i < 900
+        rows.append((i, "a", "2024-01", "f", area, str(a_metre if per else int(a_metre * area)), None, None))
+        want[i] = a_metre * area
+    fx = spark.createDataFrame([], "currency string, rate_month string, azn_per_unit double")
+    got = {r["row_no"]: r for r in prices_in_manat(listings(spark, rows), fx, states=STATES_WITH_BASIS).collect()}
+    assert sum(abs(got[i]["price_manat"] / want[i] - 1) > 0.01 for i in want) <= 5 and got[700]["per_m2"] and not got[100]["per_m2"]
