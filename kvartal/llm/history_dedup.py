@@ -709,7 +709,8 @@ def refused_rows(rows: DataFrame, root: str | None = None, **settings) -> DataFr
     for r in sorted(sizes, key=lambda r: r["batch"]):
         store.ingest(spark.read.schema(schema).parquet(f"{path}/batch={r['batch']}"), r.asDict())
     every = spark.read.schema(ready.schema).parquet(path)
-    return every.select("row_no", "seq").join(store.accepted(), "seq", "left_anti").select("row_no")
+    # The size of what was accepted grows with the rows and isn't known to the planner: never broadcast it.
+    return every.select("row_no", "seq").join(store.accepted().hint("merge"), "seq", "left_anti").select("row_no")
 
 
 #: Rows of one file of a batch that waits for its ingest.
