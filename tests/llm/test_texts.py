@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kvartal.llm.packing import best_fit_runs, pack
+from kvartal.llm.packing import best_fit, meetings, pack
 from kvartal.llm.page_spam import spam_pages
 from kvartal.llm.quantile_sketch import Sketch, partial_sketches, percentiles_by_batch, sketch_percentiles
 from kvartal.llm.tokens import decode, encoding, token_ids
@@ -24,11 +24,12 @@ def test_no_documents(spark):
     assert token_ids(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("sweep_rows", [50_000, 400])
+def test_packing(spark, sweep_rows):
     rng = np.random.default_rng(0)
     sizes = [int(s) for s in np.r_[rng.integers(0, 300, 900), [5] * 500, 4096, 2048, 2049, 7000]]
     df = spark.createDataFrame([(i, s, 1) for i, s in enumerate(sizes)] + [(9000, None, 1), (9001, -4, 1)], "id long, n int, container_id int")
-    out = pack(df, "id", "n", 2048).toPandas()
+    out = pack(df, "id", "n", 2048, sweep_rows).toPandas()
     real = out[out.n_size > 0]
     fill = real.groupby("container_id").n_size.sum()
     assert fill.max() <= 2048 and sorted(fill.index) == list(range(len(fill)))
@@ -46,19 +47,41 @@ def test_packing_nothing_and_repeats(spark):
     assert sorted(r["container_id"] for r in out) == [0, 1, 2]
 
 
-def test_runs_are_plain_best_fit():
-    rng = np.random.default_rng(3)
-    sizes = sorted(rng.integers(1, 100, 500).tolist(), reverse=True)
+def plain_best_fit(sizes, capacity):
     gaps = []
-    for s in sizes:
+    for s in sorted(sizes, reverse=True):
         fit = [g for g in gaps if g >= s]
         if fit:
             gaps.remove(min(fit))
             gaps.append(min(fit) - s)
         else:
-            gaps.append(100 - s)
-    counts = pd.Series(sizes).value_counts().to_dict()
-    assert best_fit_runs(counts, 100)[1] == len(gaps)
+            gaps.append(capacity - s)
+    return len(gaps)
+
+
+def test_one_sweep_is_plain_best_fit():
+    sizes = sorted(np.random.default_rng(3).integers(1, 100, 500).tolist(), reverse=True)
+    containers, gaps, aside, opened = best_fit(sizes, [], 1, 0, 100)
+    assert opened == plain_best_fit(sizes, 100) and (np.bincount(containers, sizes) <= 100).all() and not aside
+
+
+def test_those_left_over_meet_by_rank():
+    got = meetings([0, 3, 2, 4], [2, 4, 0, 9])
+    assert got == [(1, 0, 2, 0, 0), (2, 0, 2, 1, 0), (3, 0, 2, 1, 2)]
+    slots = [(q, first + i) for _, _, n, q, first in got for i in range(n)]
+    assert len(slots) == len(set(slots))
+
+
+@pytest.mark.parametrize("capacity,low,high", [(10**7, 10**5, 6 * 10**6), (1000, 1, 400), (100, 34, 50)])
+def test_rounds_fill_as_well_as_best_fit(spark, capacity, low, high):
+    rng = np.random.default_rng(capacity)
+    sizes = rng.integers(low, high, 3000).tolist() + [high] * 1000
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, n long")
+    out = pack(df, "id", "n", capacity, 700).toPandas()
+    fill = out.groupby("container_id").n_size.sum()
+    best = plain_best_fit(sizes, capacity)
+    assert len(out) == len(sizes) and set(out.id) == set(range(len(sizes))) and fill.max() <= capacity and sorted(fill.index) == list(range(len(fill)))
+    assert len(fill) <= best + max(2, best // 200)
 
 
 def test_sketch_error_is_bounded():
