@@ -103,9 +103,11 @@ def token_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name:
         cut = left.select("doc", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("i"), F.length("text").alias("n"))
         cut = cut.select("doc", "i", F.expr(f"substring(text, i * {chunk} + 1, {chunk + overlap})").alias("chunk"), ((F.col("i") + 1) * chunk >= F.col("n")).alias("last"))
         marks = cut.mapInPandas(_boundaries(chunk, overlap), f"doc {id_type}, i int, head array<int>, tail array<int>")
-        ahead = marks.select(F.col("doc").alias("d2"), (F.col("i") - 1).alias("i2"), F.col("head").alias("next_head"))
-        joined = marks.join(ahead, (F.col("doc") == F.col("d2")) & (F.col("i") == F.col("i2")), "left")
-        ends = joined.select("doc", "i", F.col("d2").isNull().alias("final"), F.array_min(F.array_intersect("tail", "next_head")).alias("end"))
+        # The tail of a chunk meets the head of the next one.
+        none = F.lit(None).cast("array<int>")
+        sides = F.explode(F.array(F.struct("i", "tail", none.alias("head")), F.struct((F.col("i") - 1).alias("i"), none.alias("tail"), "head")))
+        met = marks.select("doc", sides.alias("s")).where("s.i >= 0").groupBy("doc", "s.i").agg(F.first("s.tail", True).alias("tail"), F.first("s.head", True).alias("head"))
+        ends = met.select("doc", "i", F.col("head").isNull().alias("final"), F.array_min(F.array_intersect("tail", "head")).alias("end"))
         ends = stored(ends, "chunk-ends")
         apart = ends.where(~F.col("final") & F.col("end").isNull()).select("doc").distinct()
         starts = ends.select(F.col("doc").alias("d3"), (F.col("i") + 1).alias("i3"), F.col("end").alias("start"))
