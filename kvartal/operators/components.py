@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     before = None
     for _ in range(most_rounds):
         now = stored(_star(_star(now, small=False), small=True), "components")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # Full-width hashes of all edges: different rounds don't agree in all of them.
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(11), "u")), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if mark == before:
             break
         before = mark

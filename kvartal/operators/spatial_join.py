@@ -118,11 +118,13 @@ def _share(ids: pd.Series, shares: np.ndarray) -> np.ndarray:
     return (pd.util.hash_array(ids.to_numpy()).astype(np.uint64) % shares.astype(np.uint64)).astype(np.int64)
 
 
-def _block(leaf, p, s):
-    return (leaf * 4096 + p) * 4096 + s
+def _block(tree: Quadtree, leaf, p, s):
+    """Number of a share of points times a share of shapes of a leaf; the leaves' blocks follow one another."""
+    blocks = tree.point_shares * tree.shape_shares
+    return (np.cumsum(blocks) - blocks)[leaf] + p * tree.shape_shares[leaf] + s
 
 
-def within_reach(points: DataFrame, point_id: str, lat: str, lon: str, shapes: DataFrame, sample_rows: int = 50_000, leaf_rows: int = 40_000, leaf_shapes: int = 40_000) -> DataFrame:
+def within_reach(points: DataFrame, point_id: str, lat: str, lon: str, shapes: DataFrame, sample_rows: int = 50_000, leaf_rows: int = 40_000, leaf_shapes: int = 40_000, unique_ids: bool = False) -> DataFrame:
     """All pairs of a point and a shape that reaches or contains it: (``point_id``, target_id).
 
     ``shapes`` comes from :func:`circle_shapes` and :func:`polygon_shapes`.
@@ -130,8 +132,9 @@ def within_reach(points: DataFrame, point_id: str, lat: str, lon: str, shapes: D
 
     Points lacking a coordinate, with NaN, or off the globe have no pairs, as
     have shapes lacking one.  Points count once for each ``point_id`` and
-    target, also where a target is listed twice.  Points exactly at the radius
-    are within it.  An empty side gives an empty result.  Other columns of
+    target, also where a target is listed twice, or a point with several places
+    (``unique_ids`` says that there are none, and saves looking for them).
+    Points exactly at the radius are within it.  An empty side gives an empty result.  Other columns of
     either side play no part, so their names can't clash.
     """
     spark = points.sparkSession
@@ -165,7 +168,7 @@ def within_reach(points: DataFrame, point_id: str, lat: str, lon: str, shapes: D
             copies = tree.shape_shares[leaf]
             at = np.repeat(np.arange(len(pdf)), copies)
             s = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-            yield pdf.iloc[at].assign(block=_block(leaf[at], p_share[at], s))
+            yield pdf.iloc[at].assign(block=_block(tree, leaf[at], p_share[at], s))
 
     def shape_blocks(batches):
         for pdf in batches:
@@ -174,7 +177,7 @@ def within_reach(points: DataFrame, point_id: str, lat: str, lon: str, shapes: D
             copies = tree.point_shares[leaf]
             at = np.repeat(np.arange(len(pdf)), copies)
             k = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-            yield pdf.iloc[at].drop(columns="leaf").assign(block=_block(leaf[at], k, s_share[at]))
+            yield pdf.iloc[at].drop(columns="leaf").assign(block=_block(tree, leaf[at], k, s_share[at]))
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -188,8 +191,10 @@ def within_reach(points: DataFrame, point_id: str, lat: str, lon: str, shapes: D
         keep = circle[shape].copy()
         c = np.flatnonzero(keep)
         keep[c] = haversine_m_np(y[q[c]], x[q[c]], slat[shape[c]], slon[shape[c]]) <= radius[shape[c]]
+        by_shape = np.argsort(shape, kind="stable")
+        ordered = shape[by_shape]
         for i in np.flatnonzero(~circle):
-            mine = np.flatnonzero(shape == i)
+            mine = by_shape[slice(*np.searchsorted(ordered, [i, i + 1]))]
             rings = [(np.asarray(r["lat"], dtype=float), np.asarray(r["lon"], dtype=float)) for r in right["rings"].iloc[i]]
             for a in range(0, len(mine), 20_000):
                 m = mine[a : a + 20_000]
@@ -200,4 +205,4 @@ def within_reach(points: DataFrame, point_id: str, lat: str, lon: str, shapes: D
     left = p.mapInPandas(point_blocks, f"pid {id_type}, plat double, plon double, block long")
     right = placed.mapInPandas(shape_blocks, SHAPE_SCHEMA + ", block long")
     out = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(probe, f"pid {id_type}, target_id string")
-    return out.withColumnRenamed("pid", point_id)
+    return (out if unique_ids else out.distinct()).withColumnRenamed("pid", point_id)

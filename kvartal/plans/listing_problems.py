@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = circle_shapes(table(spark, sf_dir, "places"), "place_id", "lat", "lon", "radius_m").unionByName(
         polygon_shapes(table(spark, sf_dir, "regions"), "region_id", "ring_no", "vertex_no", "lat", "lon")
     )
-    return within_reach(table(spark, sf_dir, "listings"), "row_no", "lat", "lon", shapes)
+    return within_reach(table(spark, sf_dir, "listings"), "row_no", "lat", "lon", shapes, unique_ids=True)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -14,21 +13,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in the file system that its URI names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def first_existing(spark: SparkSession, paths: list[str], schema) -> DataFrame:
     """The first readable parquet path, else an empty table of ``schema``."""
     for path in paths:
-        if os.path.exists(path):
+        if path_exists(spark, path):
             return spark.read.parquet(path)
     return spark.createDataFrame([], schema)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor sees, named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder every executor sees, named by ``spark.checkpoint.dir``; on a single machine a new local one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kvartal-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)

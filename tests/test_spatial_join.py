@@ -63,3 +63,16 @@ def test_rtree_finds_all_boxes():
     a, b = PackedRTree(lo[:, 0], hi[:, 0], lo[:, 1], hi[:, 1]).probe(q[:, 0], q[:, 0], q[:, 1], q[:, 1])
     want = {(i, j) for i in range(50) for j in range(500) if (lo[j] <= q[i]).all() and (q[i] <= hi[j]).all()}
     assert set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_a_point_with_two_places_comes_once(spark):
+    points = spark.createDataFrame([(1, 40.0, 49.0), (1, 40.01, 49.01), *[(i, 40.0 + i * 1e-4, 49.0) for i in range(2, 400)]], "id long, lat double, lon double")
+    shapes = circle_shapes(spark.createDataFrame([("t", 40.0, 49.0)], "k string, lat double, lon double"), "k", "lat", "lon", 50_000.0)
+    got = [tuple(r) for r in within_reach(points, "id", "lat", "lon", shapes, sample_rows=300, leaf_rows=20).collect()]
+    assert len(got) == len(set(got)) == 399
+
+
+def test_many_shares_keep_blocks_apart(spark):
+    points = spark.createDataFrame([(i, 40.0, 49.0) for i in range(3000)], "id long, lat double, lon double")
+    shapes = circle_shapes(spark.createDataFrame([(f"t{i}", 40.0, 49.0) for i in range(30)], "k string, lat double, lon double"), "k", "lat", "lon", 10.0)
+    assert within_reach(points, "id", "lat", "lon", shapes, leaf_rows=100, leaf_shapes=7, unique_ids=True).count() == 90_000
