@@ -15,28 +15,29 @@ that are no sentences make up more than half of its letters.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections import Counter
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvartal.sources.tables import stored
 
 # Patterns of page parts.
-LINK = regex.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])(?:[\w-]+\.)+[a-z]{2,12}/\S*", regex.I)
-ANCHOR = regex.compile(r"<a\b[^<>]{0,500}>(.{0,300}?)</a\s*>", regex.I | regex.S)
-MARKUP = regex.compile(r"<[^<>]{1,300}>")
-TAG = regex.compile(r"#[\w-]+")
-SENTENCE_GAP = regex.compile(r'(?<=[.!?…])["»)\]]*\s+')
-SENTENCE_END = regex.compile(r'[\w»")\]%²][.!?]+["»)\]]*\s*\W{0,3}$')
-SEPARATOR = regex.compile(r"[,;|/•★·→*>~✅🔥:]|(?<=\s)[-–—](?=\s)")
-FACT = regex.compile(r"^\W{0,3}[^\W\d][\w .²]{0,28}:\s*\S(?:[^,;|•★·]|,(?=\d)){0,40}$")
-NUMBER_CELL = regex.compile(r"^\s*[\d.,\s]+\s*(?:m²|m2|₼|azn)?\s*$", regex.I)
-WORD = regex.compile(r"[^\W\d_][\w'’]*")
-INVISIBLE = regex.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+LINK = re.compile(r"(?:https?://|www\.)\S+|(?<![\w@.])(?:[\w-]+\.)+[a-z]{2,12}/\S*", re.I)
+ANCHOR = re.compile(r"<a\b[^<>]*+>((?:[^<]++|<(?!/?a\b))*+)</a\s*>", re.I)
+MARKUP = re.compile(r"<[a-zA-Z/!?][^<>]*+>")
+LETTERS = re.compile(r"[^\W_]+")
+TAG = re.compile(r"#[\w-]+")
+SENTENCE_GAP = re.compile(r'(?<=[.!?…])["»)\]]*\s+')
+SENTENCE_END = re.compile(r'[\w»")\]%²][.!?]+["»)\]]*\s*\W{0,3}$')
+SEPARATOR = re.compile(r"[,;|/•★·→*>~✅🔥:]|(?<=\s)[-–—](?=\s)")
+FACT = re.compile(r"^\W{0,3}[^\W\d][\w .²]{0,28}:\s*\S(?:[^,;|•★·]|,(?=\d)){0,40}$")
+NUMBER_CELL = re.compile(r"^\s*[\d.,\s]+\s*(?:m²|m2|₼|azn)?\s*$", re.I)
+WORD = re.compile(r"[^\W\d_][\w'’]*")
+INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 # Function words that join sentences and hardly occur in lists of keywords.
 FUNCTION_WORDS = {
     "az": "amma artıq axı ayrı ən bəri bəzən bir bu bütün çox çünki da daha də edib edilib edir etdi görə halbuki hamısı heç hələ hər isə kimi ki lakin nə olub ona orada öz qədər son sonra üçün var və yalnız yoxdur",
@@ -46,12 +47,15 @@ FUNCTION_WORDS = {
 }
 _WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ALL_WORDS = frozenset().union(*_WORDS.values())
+_LANGUAGES = {w: [lang for lang, f in _WORDS.items() if w in f] for w in _ALL_WORDS}
 # Endings of predicates, in the Turkic languages where a clause ends, in Russian anywhere.
-PREDICATE = regex.compile(
+PREDICATE = re.compile(
     r"(?:\w{2}(?:[dt][ıiuü]r|[ıiuü]r|yor|[dt][ıiuü]|[ıiuü]b|m[ıiuü]ş|[ae]c[ae]k|acaq|əcək)(?:l[aəe]r)?|\b(?:bilər|bilmər|olar|olmaz|yox|değil))[»\")\]]*\s*[,;:.!?…]"
     r"|\w{2}(?:[аяеую]ет|[аяую]ют|[аеу]ёт|[еёия]тся|[ую]тся|[аяиеы]л(?:ся|[аои]сь))\b|\w{3}(?:[аяиы]ли|[аяиы]ло)\b",
-    regex.I,
+    re.I,
 )
+#: Words up to which an ended stretch may do without function words.
+SHORT_WORDS = 20
 #: Words after which a stretch is compared for repetition together with its neighbours.
 WINDOW_WORDS = 40
 #: Multiples of the usual figures of a language: share of function words, separators a word, distinct words in a stretch and in a window.
@@ -77,7 +81,7 @@ _PART = pa.struct([("kind", pa.string()), ("n", pa.int32()), ("words", pa.int32(
 
 
 def _letters(text: str) -> int:
-    return sum(c.isalnum() for c in text)
+    return sum(map(len, LETTERS.findall(text)))
 
 
 def _lower(text: str) -> str:
@@ -90,7 +94,9 @@ def _part(kind, n, words=1, fw=0.0, sep=0.0, distinct=1.0, ends=False, shouts=Fa
 
 def _is_row(line: str) -> bool:
     """A line of a table: a few cells of which two or more are figures."""
-    cells = regex.split(r"[|\t]", line.strip().strip("|"))
+    if "|" not in line and "\t" not in line:
+        return False
+    cells = re.split(r"[|\t]", line.strip().strip("|"))
     return 3 <= len(cells) <= 8 and sum(bool(NUMBER_CELL.match(c)) for c in cells) >= 2
 
 
@@ -99,7 +105,7 @@ def page_shares(lines: list[tuple[str, int]], stretches: list[tuple[dict, list[s
     words = [x for _, ws in stretches for x in ws]
     if len(words) < PAGE_WORDS:
         return {"top": 0.0, "gram": 0.0, "dup": 0.0}
-    counts = Counter(x for x in words if len(x) > 2 and x not in _ALL_WORDS)
+    counts = Counter([x for x in words if len(x) > 2 and x not in _ALL_WORDS])
     word, most = max(counts.items(), key=lambda t: (t[1], t[0]), default=("", 0))
     for p, ws in stretches:
         p["top"] = word in ws
@@ -113,7 +119,10 @@ def page_shares(lines: list[tuple[str, int]], stretches: list[tuple[dict, list[s
 
 def page_parts(text: str) -> tuple[str, list[dict], dict[str, float]]:
     """Language by function words ('' if they show none), the parts of a page, and its page_shares."""
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", html.unescape(text)))
+    text = html.unescape(text)
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    text = INVISIBLE.sub("", text)
     parts, hits, near, near_words = [], dict.fromkeys(_WORDS, 0), [], []
     lines, stretches = [], []
 
@@ -126,15 +135,20 @@ def page_parts(text: str) -> tuple[str, list[dict], dict[str, float]]:
             near.clear()
             near_words.clear()
 
-    linked = sum(_letters(MARKUP.sub("", m)) for m in ANCHOR.findall(text))
-    if linked:
-        parts.append(_part("link", linked))
-        text = ANCHOR.sub("\n", text)
-    for line in regex.split(r"[\r\n]+", MARKUP.sub("\n", text)):
-        links = LINK.findall(line)
-        rest = LINK.sub(" ", line)
-        tags = TAG.findall(rest)
-        rest = TAG.sub(" ", rest)
+    if "<" in text:
+        linked = sum(_letters(MARKUP.sub("", m)) for m in ANCHOR.findall(text))
+        if linked:
+            parts.append(_part("link", linked))
+            text = ANCHOR.sub("\n", text)
+        text = MARKUP.sub("\n", text)
+    for line in re.split(r"[\r\n]+", text):
+        links, tags, rest = [], [], line
+        if "/" in line or "www." in line.lower():
+            links = LINK.findall(line)
+            rest = LINK.sub(" ", line)
+        if "#" in rest:
+            tags = TAG.findall(rest)
+            rest = TAG.sub(" ", rest)
         for kind, found in (("link", links), ("tag", tags)):
             if n := sum(map(_letters, found)):
                 parts.append(_part(kind, n, len(found)))
@@ -147,16 +161,25 @@ def page_parts(text: str) -> tuple[str, list[dict], dict[str, float]]:
         for stretch in SENTENCE_GAP.split(rest):
             if not (n := _letters(stretch)):
                 continue
-            raw = WORD.findall(stretch)
-            words = [_lower(x) for x in raw]
+            words = WORD.findall(_lower(stretch))
             k = max(1, len(words))
-            own = {lang: sum(x in f for x in words) for lang, f in _WORDS.items()}
+            own = dict.fromkeys(_WORDS, 0)
+            for x in [x for x in words if x in _LANGUAGES]:
+                for lang in _LANGUAGES[x]:
+                    own[lang] += 1
             for lang, c in own.items():
                 hits[lang] += c
             end = SENTENCE_END.search(stretch)
-            capitals = 0 if stretch.upper() == stretch else sum(x[0].isupper() for x in raw[1:])
-            begins = bool(raw) and (raw[0][0].isupper() or stretch.strip()[:1].isdigit())
-            p = _part("text", n, len(words), max(own.values()) / k, len(SEPARATOR.findall(stretch)) / k, len(set(words)) / k, bool(end), bool(end) and "!" in end.group(0), begins and capitals <= 2, says=bool(PREDICATE.search(stretch)))
+            fw = max(own.values()) / k
+            shouts = even = says = False
+            if end and "!" in end.group(0):
+                # Whether it is written evenly, and below whether it has a predicate, is looked up only where it can matter.
+                raw = WORD.findall(stretch)
+                capitals = 0 if stretch.upper() == stretch else sum(x[0].isupper() for x in raw[1:])
+                shouts, even = True, bool(raw) and (raw[0][0].isupper() or stretch.strip()[:1].isdigit()) and capitals <= 2
+            if end and len(words) <= SHORT_WORDS and fw < FACTORS["fw"]:
+                says = bool(PREDICATE.search(stretch))
+            p = _part("text", n, len(words), fw, len(SEPARATOR.findall(stretch)) / k, len(set(words)) / k, bool(end), shouts, even, says=says)
             parts.append(p)
             stretches.append((p, words))
             near.append(p)
@@ -207,7 +230,7 @@ def usual_shares(pages: DataFrame) -> DataFrame:
 
 def _is_sentence(p: Column, limits: dict[str, Column]) -> Column:
     repeats = ((p["words"] >= 6) & (p["distinct"] < limits["distinct"])) | (p["window"] < limits["window"]) | (F.col("tops") & p["top"])
-    short = (p["words"] <= 20) & (~p["shouts"] | p["even"]) & ~F.col("repeating")
+    short = (p["words"] <= SHORT_WORDS) & (~p["shouts"] | p["even"]) & ~F.col("repeating")
     whole = p["ends"] & ((p["fw"] >= limits["fw"] * F.when(F.col("repeating"), REPEATING).otherwise(1.0)) | (short & (p["says"] | ~F.col("bare"))))
     cut = ~p["ends"] & (p["words"] >= 5) & (p["fw"] >= 1.6 * limits["fw"])
     return (p["kind"] == "text") & (p["words"] >= 4) & ~repeats & (p["sep"] <= limits["sep"]) & (whole | cut)
@@ -230,7 +253,7 @@ def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     judged = judged.select("doc", "lang", "parts", *PAGE_USUAL, *[F.coalesce("usual_" + c, F.lit(v)).alias("usual_" + c) for c, v in {**USUAL, **PAGE_USUAL}.items()])
     beyond = {c: F.col(c) > F.greatest(F.lit(PAGE_FLOORS[c]), F.col("usual_" + c) * f) for c, f in PAGE_FACTORS.items()}
     total = number(lambda p: F.lit(True))
-    bare = number(lambda p: (p["kind"] == "text") & p["ends"] & (p["words"] >= 4) & (p["words"] <= 20) & (p["fw"] < limits["fw"]) & ~p["says"])
+    bare = number(lambda p: (p["kind"] == "text") & p["ends"] & (p["words"] >= 4) & (p["words"] <= SHORT_WORDS) & (p["fw"] < limits["fw"]) & ~p["says"])
     judged = judged.select("*", beyond["top"].alias("tops"), (beyond["gram"] | beyond["dup"]).alias("repeating"), (_listed(F.col("lang")) & (2 * bare > total)).alias("bare"))
     fair = number(lambda p: (p["kind"] == "fact") | _is_sentence(p, limits))
     share = judged.select("doc", "lang", total.alias("total"), fair.alias("fair")).where("total > 0").select(F.col("doc").alias(doc_id), (1 - F.col("fair") / F.col("total")).alias("spam_share"), F.col("lang").alias("page_lang"))
