@@ -664,6 +664,6 @@ def tree_predictions(spark, sf_dir):
     """Boosted trees walked forward over every month after the 18th, against the naive prediction."""
     from kvartal.operators.models import evaluate_walk_forward
 
-    fm = features.feature_matrix(panel(spark, sf_dir), centres(spark, sf_dir), edges(spark, sf_dir)).cache()
+    fm = stored(features.feature_matrix(panel(spark, sf_dir), centres(spark, sf_dir), edges(spark, sf_dir)), "features")
     months = [r["month"] for r in fm.select("month").distinct().collect()]  # the calendar's months
     return evaluate_walk_forward(fm, features.FEATURES, "price_azn_m2_median", validation.walk_forward_splits(months))

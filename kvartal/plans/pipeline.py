@@ -37,13 +37,10 @@ def run(listings: DataFrame, out_dir: str, target: int = 140, min_train: int = 1
     folds = validation.block_folds(mid.join(panel.select("h3").distinct(), "h3"), F.concat(F.lit("blk:"), F.substring(F.substring_index("h3", ":", -1), 1, 3)))
     spatial = models.against_naive(models.evaluate_folds(fm, features.FEATURES, price, folds, exclude=["nbr_price_prev_month"], **trees)).first()
     cut, held = months[-(calibrate + hold_out)], months[-hold_out]
-    intervals.check_windows([m for m in months if m < cut], [m for m in months if cut <= m < held])
-    model = models.PriceModel(features.FEATURES, price, **trees).fit(fm.where(F.col("month") < cut))
-    seen = stored(model.predict(fm.where(F.col("month") >= cut)).select("h3", "month", price, F.col("prediction").alias("mid")), "calibration")
-    band = intervals.residual_band(model.predict(fm.where(F.col("month") < cut)), price, "prediction").first()["half_width"] or 0.0
-    wide = seen.withColumn("lo", F.col("mid") - band).withColumn("hi", F.col("mid") + band)
-    offset = intervals.conformal_offset(wide.where(F.col("month") < held), price, "lo", "hi").first()["offset"]
-    final = wide.select("h3", "month", price, *intervals.widen(F.col("lo"), F.col("mid"), F.col("hi"), F.lit(offset)))
+    train, later = [m for m in months if m < cut], [m for m in months if m >= cut]
+    model = models.model_of(fm, features.FEATURES, price, **trees).fit(fm.where(F.col("month") < cut))
+    bounded, _ = models.quantile_intervals(fm, features.FEATURES, price, train, [m for m in later if m < held], **trees)
+    final = stored(bounded.where(F.col("month") >= cut).select("h3", "month", price, "q10", "q50", "q90"), "bounds")
     covered = intervals.coverage(final.where(F.col("month") >= held), price, "q10", "q90").first()
     filled = stored(panels.forward_fill_log(panels.complete_panel(panel, panels.month_span(panel))), "filled")
     ahead = forecast.ridge_forecast(filled, graph.neighbour_weights(graph.normalised_adjacency(edges, panel)), HORIZONS)
