@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
 from kvartal.functions.moments import month_number, month_text
+from kvartal.operators.quantiles import exact_group_median
 
 
 def build_panel(listings: DataFrame, cell: str = "h3", month: str = "listed_month", price: str = "price_azn_m2", min_listings: int = 3) -> DataFrame:
     """Median, mean, number and share of new buildings by cell and month; thinner cell-months are dropped."""
     new = F.when(F.col("building_type") == "new", 1.0).otherwise(0.0)
-    return (
-        listings.groupBy(F.col(cell).alias("h3"), F.col(month).alias("month"))
-        .agg(F.median(price).alias("price_azn_m2_median"), F.avg(price).alias("price_azn_m2_mean"), F.count("*").alias("n_listings"), F.avg(new).alias("new_share"))
-        .where(F.col("n_listings") >= min_listings)
-    )
+    rows = listings.select(F.col(cell).alias("h3"), F.col(month).alias("month"), F.col(price).alias("_price"), new.alias("_new"))
+    stats = rows.groupBy("h3", "month").agg(F.avg("_price").alias("price_azn_m2_mean"), F.count("*").alias("n_listings"), F.avg("_new").alias("new_share")).where(F.col("n_listings") >= min_listings)
+    # A cell may hold a tenth of all rows: its median is found by bins, not from all its values in one buffer.
+    medians = exact_group_median(rows, ["h3", "month"], "_price").select(F.col("h3").alias("_h3"), F.col("month").alias("_month"), F.col("median").alias("price_azn_m2_median"))
+    same = F.col("h3").eqNullSafe(F.col("_h3")) & F.col("month").eqNullSafe(F.col("_month"))
+    return stats.join(medians, same, "left").select("h3", "month", "price_azn_m2_median", "price_azn_m2_mean", "n_listings", "new_share")
 
 
 def month_span(panel: DataFrame) -> DataFrame:

@@ -14,31 +14,47 @@ from kvartal.operators.components import connected_components
 
 M_PER_DEGREE = math.pi / 180 * EARTH_RADIUS_KM * 1000
 AREA_TOLERANCE = 0.05
+#: Width of a band of area or price, in tolerances.
+BAND = 4.0
 
 
 def close_by(a: Column, b: Column, share: float) -> Column:
     return F.abs(a - b) <= share * F.greatest(a, b)
 
 
+def _bands(value: Column, share: float) -> tuple[Column, Column]:
+    """(bands to look in, own band) of a value: those of values within ``share`` of the larger one are among the former."""
+    step = -math.log(1 - share) * (1 + 1e-9)
+    log = F.ln(value) / (BAND * step)
+    none = F.lit(-(1 << 40)).cast("long")  # zero, negative and missing values meet among themselves only
+    looked = F.when(value > 0, F.sequence(F.floor(log - 1 / BAND), F.floor(log + 1 / BAND))).otherwise(F.array(none))
+    return looked, F.when(value > 0, F.floor(log)).otherwise(none)
+
+
 def candidate_pairs(listings: DataFrame, max_dist_m: float = 300.0, price_tolerance: float = 0.10) -> DataFrame:
     """(a, b), a < b: listings of equal rooms, floor and floors, near in area and price, within ``max_dist_m``.
 
     Listings are put into square cells as wide as the distance; a pair meets in
     the same or an adjacent cell, of which half are looked up.  A degree of
-    longitude counts as at the greatest latitude, so no pair is lost.  Rows
-    lacking any of the fields have no pair.
+    longitude counts as at the greatest latitude, so no pair is lost.  The key
+    also has a band of area and one of price: one side is put into its own
+    band, the other into all in which a partner may be, so crowded cells fall
+    apart and no pair meets twice.  Rows lacking any of the fields have no pair.
     """
     rows = listings.where(finite(F.col("lat")) & finite(F.col("lon"))).select("listing_id", "lat", "lon", "rooms", "floor", "building_floors", "area_m2", "price_azn_m2")
     top = rows.agg(F.max(F.abs("lat")).alias("top")).first()["top"]
     per_lon = M_PER_DEGREE * math.cos(math.radians(min(top or 0.0, 89.9)))
     rows = rows.withColumn("gx", F.floor(F.col("lon") * per_lon / max_dist_m)).withColumn("gy", F.floor(F.col("lat") * M_PER_DEGREE / max_dist_m))
-    a = rows.select([F.col(c).alias(c + "_a") for c in rows.columns])
+    (area_looked, area_own), (price_looked, price_own) = _bands(F.col("area_m2"), AREA_TOLERANCE), _bands(F.col("price_azn_m2"), price_tolerance)
+    a = rows.withColumn("ba", F.explode(area_looked)).withColumn("bp", F.explode(price_looked))
+    rows = rows.withColumn("ba", area_own).withColumn("bp", price_own)
+    a = a.select([F.col(c).alias(c + "_a") for c in a.columns])
     half = [(0, 0), (1, 0), (0, 1), (1, 1), (1, -1)]
     steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in half])
     a = a.withColumn("step", F.explode(steps)).withColumn("hx", F.col("gx_a") + F.col("step.x")).withColumn("hy", F.col("gy_a") + F.col("step.y")).withColumn("own", (F.col("step.x") == 0) & (F.col("step.y") == 0))
     b = rows.select([F.col(c).alias(c + "_b") for c in rows.columns])
     same = (F.col("hx") == F.col("gx_b")) & (F.col("hy") == F.col("gy_b"))
-    for c in ("rooms", "floor", "building_floors"):
+    for c in ("rooms", "floor", "building_floors", "ba", "bp"):
         same = same & (F.col(c + "_a") == F.col(c + "_b"))
     near = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) * 1000 <= max_dist_m
     rest = close_by(F.col("price_azn_m2_a"), F.col("price_azn_m2_b"), price_tolerance) & close_by(F.col("area_m2_a"), F.col("area_m2_b"), AREA_TOLERANCE) & near

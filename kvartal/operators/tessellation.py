@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvartal.functions.geo import EARTH_RADIUS_KM, haversine_km
+from kvartal.functions.geo import EARTH_RADIUS_KM, haversine_m_np
+from kvartal.functions.rtree import PackedRTree
 from kvartal.operators.quantiles import exact_group_median
 from kvartal.sources.tables import stored
 
@@ -95,75 +97,133 @@ def kd_block(cell: Column, depth: int = 3) -> Column:
     return F.concat(F.lit("blk:"), F.substring(path, 1, depth))
 
 
-def fit_kd(points: DataFrame, lat: str, lon: str, target: int = 140, min_span_m: float = 250.0, block_depth: int = 3, most_levels: int = 40) -> KDBoxes:
+#: Rows up to which a table of boxes is broadcast.
+BROADCAST_BOXES = 100_000
+#: Boxes that one pass over the points looks through.
+BOXES_AT_ONCE = 200_000
+
+
+def _small(t: DataFrame) -> DataFrame:
+    """``t``, broadcast if its rows, counted, are few."""
+    return F.broadcast(t) if t.count() <= BROADCAST_BOXES else t
+
+
+def fit_kd(points: DataFrame, lat: str, lon: str, target: int = 140, min_span_m: float = 250.0, block_depth: int = 3) -> KDBoxes:
     """Equal-count boxes: median cuts across the longer side, level by level, while halving comes closer to ``target``.
 
-    Each level counts and cuts all open boxes at once; medians are exact and
-    work in bins, so the first levels, whose boxes hold all points, don't put
-    them into one task.  The driver sees open boxes only, of which there are at
-    most points / target.  Points without finite coordinates play no part;
-    without any the fit fails.
+    Each level counts and cuts all open boxes at once, as a table; medians are
+    exact and work in bins, so the first levels, whose boxes hold all points,
+    don't put them into one task.  Boxes get smaller than ``min_span_m`` at
+    last, so it ends.  Points without finite coordinates play no part; without
+    any the fit fails.
     """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < 1e9)
     rows = points.where(finite(lat) & finite(lon)).select(F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"), F.lit("").alias("path"))
     ends = rows.agg(F.count("*").alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")).first()
     if not ends["n"]:
         raise ValueError("no finite coordinates to fit on")
-    boxes = {"": (ends["y0"] - 1e-6, ends["y1"] + 1e-6, ends["x0"] - 1e-6, ends["x1"] + 1e-6, ends["n"])}
-    leaves: dict[str, tuple] = {}
     spark = points.sparkSession
-    for _ in range(most_levels):
-        cuts = []
-        for path, (y0, y1, x0, x1, n) in boxes.items():
-            high, wide = (y1 - y0) * KM_PER_DEGREE * 1000, (x1 - x0) * KM_PER_DEGREE * 1000 * math.cos(math.radians((y0 + y1) / 2))
-            if abs(n / 2 - target) < abs(n - target) and min(high, wide) >= min_span_m:
-                cuts.append((path, high >= wide))
-            else:
-                leaves[path] = (y0, y1, x0, x1, n)
-        if not cuts:
+    schema = "path string, y0 double, y1 double, x0 double, x1 double, n long"
+    boxes = spark.createDataFrame([("", ends["y0"] - 1e-6, ends["y1"] + 1e-6, ends["x0"] - 1e-6, ends["x1"] + 1e-6, ends["n"])], schema)
+    high, wide = (F.col("y1") - F.col("y0")) * (KM_PER_DEGREE * 1000), (F.col("x1") - F.col("x0")) * (KM_PER_DEGREE * 1000) * F.cos(F.radians((F.col("y0") + F.col("y1")) / 2))
+    closer = (F.abs(F.col("n") / 2 - target) < F.abs(F.col("n") - target)) & (F.least(high, wide) >= min_span_m)
+    leaves = None
+    while True:
+        done = boxes.where(~closer)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        cuts = stored(boxes.where(closer).withColumn("by_lat", high >= wide), "kd-cuts")
+        if cuts.isEmpty():
             break
-        axis = spark.createDataFrame(cuts, "path string, by_lat boolean")
-        rows = rows.join(F.broadcast(axis), "path").select("y", "x", "path", "by_lat")
-        along = rows.withColumn("v", F.when(F.col("by_lat"), F.col("y")).otherwise(F.col("x")))
-        medians = {r["path"]: r["median"] for r in exact_group_median(along, ["path"], "v", bins_per_e=1 << 20).collect()}
-        at = []
-        for path, by_lat in cuts:
-            y0, y1, x0, x1, _n = boxes[path]
-            a, b = (y0, y1) if by_lat else (x0, x1)
-            cut = medians[path] if a < medians[path] < b else (a + b) / 2
-            at.append((path, cut))
-        rows = along.join(F.broadcast(spark.createDataFrame(at, "path string, cut double")), "path")
+        along = rows.join(_small(cuts.select("path", "by_lat")), "path").withColumn("v", F.when(F.col("by_lat"), F.col("y")).otherwise(F.col("x")))
+        medians = exact_group_median(along, ["path"], "v", bins_per_e=1 << 20)
+        low, top = F.when(F.col("by_lat"), F.col("y0")).otherwise(F.col("x0")), F.when(F.col("by_lat"), F.col("y1")).otherwise(F.col("x1"))
+        inner = (F.col("median") > low) & (F.col("median") < top)
+        at = stored(cuts.join(medians, "path").withColumn("cut", F.when(inner, F.col("median")).otherwise((low + top) / 2)).drop("median"), "kd-at")
+        rows = along.join(_small(at.select("path", "cut")), "path")
         rows = stored(rows.select("y", "x", F.concat("path", F.when(F.col("v") <= F.col("cut"), "0").otherwise("1")).alias("path")), "kd-level")
-        counts = {r["path"]: r["count"] for r in rows.groupBy("path").count().collect()}
-        below = {}
-        for (path, by_lat), (_p, cut) in zip(cuts, at):
-            y0, y1, x0, x1, _n = boxes[path]
-            halves = ((y0, cut, x0, x1), (cut, y1, x0, x1)) if by_lat else ((y0, y1, x0, cut), (y0, y1, cut, x1))
-            for bit, half in zip("01", halves):
-                below[path + bit] = (*half, counts.get(path + bit, 0))
-        boxes = below
-    leaves |= {} if not cuts else boxes
-    table = [("kd:" + (p or "r"), p, *map(float, b[:4]), int(b[4])) for p, b in sorted(leaves.items())]
-    return KDBoxes(spark.createDataFrame(table, "h3 string, path string, lat_min double, lat_max double, lon_min double, lon_max double, n long"), block_depth)
-
-
-def assign_boxes(points: DataFrame, point_id: str, lat: str, lon: str, boxes: DataFrame, most_boxes: int = 20_000) -> DataFrame:
+        counts = rows.groupBy("path").agg(F.count("*").alias("n"))
+        ends_at = lambda bit, side: F.when(F.col("by_lat") == side, F.col("cut"))
+        first = F.struct(F.concat("path", F.lit("0")).alias("path"), "y0", F.coalesce(ends_at(0, True), "y1").alias("y1"), "x0", F.coalesce(ends_at(0, False), "x1").alias("x1"))
+        second = F.struct(F.concat("path", F.lit("1")).alias("path"), F.coalesce(ends_at(1, True), "y0").alias("y0"), "y1", F.coalesce(ends_at(1, False), "x0").alias("x0"), "x1")
+        halves = at.select(F.explode(F.array(first, second)).alias("h")).select("h.*")
+        boxes = stored(halves.join(counts, "path", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), "kd-boxes")
+    name = F.concat(F.lit("kd:"), F.when(F.col("path") == "", "r").otherwise(F.col("path")))
+    table = leaves.select(name.alias("h3"), "path", F.col("y0").alias("lat_min"), F.col("y1").alias("lat_max"), F.col("x0").alias("lon_min"), F.col("x1").alias("lon_max"), "n")
+    return KDBoxes(stored(table, "kd-leaves"), block_depth)
+
+
+def _nearest_centres(y: np.ndarray, x: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centre by great circle, the first of equals, and its distance in km.
+
+    Centres are sorted by latitude; a point looks at those around its own in
+    growing bands until the difference of latitude alone is farther.
+    """
+    order = np.argsort(lat, kind="stable")
+    sorted_lat, n = lat[order], len(lat)
+    best, far = np.zeros(len(y), dtype=np.int64), np.full(len(y), np.inf)
+    at, left, width = np.searchsorted(sorted_lat, y), np.arange(len(y)), min(n, 64)
+    while len(left):
+        for some in np.array_split(left, max(1, len(left) * min(n, 2 * width) // 4_000_000)):
+            low, high = np.maximum(0, at[some] - width), np.minimum(n, at[some] + width)
+            columns = low[:, None] + np.arange(min(n, 2 * width))[None, :]
+            valid = columns < high[:, None]
+            ids = order[np.minimum(columns, n - 1)]
+            d = np.where(valid, haversine_m_np(y[some][:, None], x[some][:, None], lat[ids], lon[ids]) / 1000, np.inf)
+            near = d.min(axis=1)
+            first = np.where(d <= near[:, None], ids, n).min(axis=1)
+            best[some], far[some] = first, near
+        low, high = np.maximum(0, at[left] - width), np.minimum(n, at[left] + width)
+        below = np.where(low > 0, np.abs(y[left] - sorted_lat[np.maximum(low - 1, 0)]), np.inf)
+        above = np.where(high < n, np.abs(sorted_lat[np.minimum(high, n - 1)] - y[left]), np.inf)
+        left = left[np.minimum(below, above) * KM_PER_DEGREE <= far[left] * (1 + 1e-9)]
+        width *= 4
+    return best, far
+
+
+def assign_boxes(points: DataFrame, point_id: str, lat: str, lon: str, boxes: DataFrame, at_once: int = BOXES_AT_ONCE) -> DataFrame:
     """(``point_id``, cell): the first box, by id, that holds the point (borders included), else the box with the nearest centre.
 
-    Boxes are broadcast, at most ``most_boxes``; more are refused, since a
-    partition of that size belongs into the spatial join.  Points lacking a
-    coordinate have no row.
+    Boxes are packed into an R-tree that each task probes with its points, so
+    points aren't shuffled.  More boxes than ``at_once`` are taken in blocks, and
+    the best of all blocks is kept for each row.  Points
+    lacking a coordinate have no row; repeated ids are rows of their own.
     """
-    number = boxes.count()
-    if number > most_boxes:
-        raise ValueError(f"{number} boxes; use within_reach for more than {most_boxes}")
-    p = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)).select(F.col(point_id).alias("pid"), F.col(lat).alias("y"), F.col(lon).alias("x"))
-    b = F.broadcast(boxes.select("h3", "lat_min", "lat_max", "lon_min", "lon_max"))  # checked above
-    inside = p.join(b, F.col("y").between(F.col("lat_min"), F.col("lat_max")) & F.col("x").between(F.col("lon_min"), F.col("lon_max")), "left")
-    held = inside.groupBy("pid", "y", "x").agg(F.min("h3").alias("cell"))
-    away = haversine_km(F.col("y"), F.col("x"), (F.col("lat_min") + F.col("lat_max")) / 2, (F.col("lon_min") + F.col("lon_max")) / 2)
-    nearest = held.where("cell is null").drop("cell").join(b).groupBy("pid").agg(F.min_by("h3", F.struct(away, F.col("h3"))).alias("cell"))
-    return held.where("cell is not null").select("pid", "cell").unionByName(nearest).withColumnRenamed("pid", point_id)
+    id_type = points.schema[point_id].dataType.simpleString()
+    good = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    p = points.where(good).select(F.col(point_id).alias("pid"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"))
+    table = boxes.select("h3", "lat_min", "lat_max", "lon_min", "lon_max")
+    number = table.count()
+    if not number:
+        return p.select(F.col("pid").alias(point_id), F.lit(None).cast("string").alias("cell")).limit(0)
+    blocks = -(-number // at_once)
+    if blocks > 1:
+        table = stored(table.withColumn("block", F.pmod(F.xxhash64("h3"), F.lit(blocks)) + 1), "boxes")
+        p = stored(p.withColumn("row", F.monotonically_increasing_id()), "points")
+    found = None
+    for block in range(1, blocks + 1):
+        # At most ``at_once`` boxes, or so, come to the driver and go to the tasks.
+        b = (table.where(F.col("block") == block) if blocks > 1 else table).orderBy("h3").toPandas()
+        ids, sides = b["h3"].to_numpy(), [b[c].to_numpy(dtype=float) for c in ("lat_min", "lat_max", "lon_min", "lon_max")]
+
+        def assign(batches, ids=ids, sides=sides):
+            tree = PackedRTree(*sides)
+            lat_mid, lon_mid = (sides[0] + sides[1]) / 2, (sides[2] + sides[3]) / 2
+            for pdf in batches:
+                y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+                q, box = tree.probe(y, y, x, x)
+                first = np.full(len(pdf), len(ids), dtype=np.int64)
+                np.minimum.at(first, q, box)
+                away = np.where(first < len(ids), -1.0, np.inf)
+                out = np.flatnonzero(first == len(ids))
+                if len(out):
+                    first[out], away[out] = _nearest_centres(y[out], x[out], lat_mid, lon_mid)
+                yield pdf.drop(columns=["y", "x"]).assign(cell=ids[first], away=away)
+
+        part = p.mapInPandas(assign, f"pid {id_type}, {'row long, ' if blocks > 1 else ''}cell string, away double")
+        found = part if found is None else found.unionByName(part)
+    if blocks > 1:
+        found = found.groupBy("row").agg(F.first("pid").alias("pid"), F.min_by("cell", F.struct("away", "cell")).alias("cell"))
+    return found.select(F.col("pid").alias(point_id), "cell")
 
 
 def describe_cells(cells: DataFrame, size: str = "n", block: Column | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from kvartal.functions.moments import month_number
 from kvartal.functions.numeric import normal_cdf
 from kvartal.functions.parsing import first_number, flatten_node, floor_pair, listed_month, normalise_nodes, phash_hamming
 from kvartal.operators import causal, features, graph, intervals, panel as panels, resolve, scenario, serving, study, validation
+from kvartal.operators.quantiles import exact_group_median
 from kvartal.operators.tessellation import HexGrid, assign_boxes, kd_block
 from kvartal.sources.tables import stored, table
 
@@ -289,11 +290,10 @@ def hex_edges(spark, sf_dir):
 
 @query()
 def kd_fit(spark, sf_dir):
-    """Equal-count boxes fitted on the listings' places."""
+    """Equal-count boxes fitted on all finite coordinates of the listings, wrong ones included."""
     from kvartal.operators.tessellation import fit_kd
 
-    inside = flats(spark, sf_dir).where("lat between 40 and 41 and lon between 49 and 51")
-    return fit_kd(inside, "lat", "lon").cells()
+    return fit_kd(flats(spark, sf_dir), "lat", "lon").cells()
 
 
 @query()
@@ -635,7 +635,7 @@ def unit_summary(spark, sf_dir):
 SELECT h3, h::BIGINT AS horizon_months, round(q * 0.9 * (1 + a / 100 * 0.5), 4) AS q10, round(q * (1 + a / 100), 4) AS q50, round(q * 1.1 * (1 + a / 100 * 1.5) * sqrt(h / 12), 4) AS q90, round(a, 6) AS appreciation_pct
 FROM (SELECT *, g * 5 * CASE WHEN h = 24 THEN 1.8 ELSE 1 END AS a FROM c JOIN gr USING (h3) CROSS JOIN (SELECT unnest([12, 24]) AS h))""")
 def snapshot_projection(spark, sf_dir):
-    q = flats(spark, sf_dir).groupBy("h3").agg(F.median("price_azn_m2").alias("q50"))
+    q = exact_group_median(flats(spark, sf_dir), ["h3"], "price_azn_m2").withColumnRenamed("median", "q50")
     cells = q.join(features.masterplan_features(centres(spark, sf_dir)).select("h3", "node_gravity"), "h3").select("h3", "node_gravity", (F.col("q50") * 0.9).alias("q10"), "q50", (F.col("q50") * 1.1).alias("q90"))
     out = scenario.snapshot_projection(cells, "2026-08")
     return out.select("h3", "horizon_months", *[F.round(c, 4).alias(c) for c in ("q10", "q50", "q90")], F.round("appreciation_pct", 6).alias("appreciation_pct"))

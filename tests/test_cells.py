@@ -147,3 +147,24 @@ def test_image_hash(spark):
     rows = [(0, bytearray(pgm(grey))), (1, bytearray(pgm(np.clip(grey.astype(int) + 3, 0, 255).astype(np.uint8)))), (2, bytearray(b"no image")), (3, None)]
     got = [r["h"] for r in spark.createDataFrame(rows, "i int, content binary").select("i", phash(F.col("content")).alias("h")).orderBy("i").collect()]
     assert len(got[0]) == 16 and bin(int(got[0], 16) ^ int(got[1], 16)).count("1") <= 6 and got[2:] == ["", ""]
+
+
+def test_boxes_in_blocks_and_nearest_centres(spark):
+    from kvartal.operators.tessellation import _nearest_centres
+
+    rng = np.random.default_rng(4)
+    corners = [(f"b{i:03d}", 40 + 0.1 * (i // 10), 40.1 + 0.1 * (i // 10), 49 + 0.1 * (i % 10), 49.1 + 0.1 * (i % 10)) for i in range(90)]
+    boxes = spark.createDataFrame(corners, "h3 string, lat_min double, lat_max double, lon_min double, lon_max double")
+    points = [(i, float(rng.uniform(39.8, 41.2)), float(rng.uniform(48.8, 50.3))) for i in range(400)] + [(400, 0.0, 0.0), (401, 49.5, 40.2), (402, 40.1, 49.1), (402, 40.1, 49.1), (403, None, 49.0), (404, float("nan"), 49.0)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    whole = sorted(map(tuple, assign_boxes(df, "id", "lat", "lon", boxes).collect()))
+    assert whole == sorted(map(tuple, assign_boxes(df, "id", "lat", "lon", boxes, at_once=17).collect())) and len(whole) == 404
+    assert (402, "b000") in whole
+    assert assign_boxes(df, "id", "lat", "lon", boxes.limit(0)).count() == 0
+    lat, lon = rng.uniform(-80, 80, 3000), rng.uniform(-180, 180, 3000)
+    y, x = rng.uniform(-85, 85, 200), rng.uniform(-180, 180, 200)
+    from kvartal.functions.geo import haversine_m_np
+
+    near, away = _nearest_centres(y, x, lat, lon)
+    every = haversine_m_np(y[:, None], x[:, None], lat, lon) / 1000
+    assert (near == every.argmin(axis=1)).all() and np.allclose(away, every.min(axis=1))
