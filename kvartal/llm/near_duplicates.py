@@ -11,7 +11,9 @@ signature, and each listing of a signature is linked to it once.
 
 A token held by very many signatures (a stock picture) leads to a prefix only
 in small sets.  There it joins within cells of the attributes that both sides
-have, and not across the whole token.
+have, and not across the whole token.  Whatever key still has more than
+``SHARE_ROWS`` rows is joined in shares: each row of one side goes to one share,
+those of the other side to all, so no task gets a whole key.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ SHARE = 0.5
 AREA_GAP = 0.05
 PRICE_GAP = 0.10
 LAT_GAP = 0.001
+#: Rows of a key that one share of a join takes.
+SHARE_ROWS = 2_000
+#: Keys in shares up to which their table is broadcast.
+BIG_KEYS = 100_000
 KEY_SCHEMA = "k long, sid long, n int, mb long, mc long, l boolean, r boolean"
 
 
@@ -94,6 +100,23 @@ def _keys(hot: np.ndarray):
     return rows
 
 
+def in_shares(left: DataFrame, right: DataFrame, key: str, member: str, share_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``key`` with a further column ``share`` to join on.
+
+    Keys with more than ``share_rows`` (SHARE_ROWS) rows on the right are cut
+    into shares by ``member``; the left rows of such a key are copied to all.
+    """
+    share_rows = share_rows or SHARE_ROWS
+    big = stored(right.groupBy(key).count().where(F.col("count") > share_rows).select(key, F.ceil(F.col("count") / share_rows).cast("int").alias("shares")), "big-keys")
+    number = big.count()
+    if not number:
+        return left.withColumn("share", F.lit(0)), right.withColumn("share", F.lit(0))
+    big = F.broadcast(big) if number <= BIG_KEYS else big
+    left = left.join(big, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares"), F.lit(1)) - 1))).drop("shares")
+    right = right.join(big, key, "left").withColumn("share", F.pmod(F.xxhash64(member), F.coalesce(F.col("shares"), F.lit(1))).cast("int")).drop("shares")
+    return left, right
+
+
 def close(a: Column, b: Column, gap: float) -> Column:
     """Within ``gap`` of the larger value; a value missing on one side doesn't count against."""
     return F.coalesce(F.abs(a - b) <= gap * F.greatest(a, b), F.lit(True))
@@ -107,11 +130,12 @@ def alike_links(signatures: DataFrame) -> DataFrame:
     """
     hot = hot_tokens(signatures, "tokens")
     keys = signatures.select("sid", "tokens", "area", "price", "lat").mapInArrow(_keys(hot), KEY_SCHEMA)
-    a, b = keys.where("l").alias("a"), keys.where("r").alias("b")
+    keys = stored(keys, "alike-keys")
+    a, b = (side.alias(name) for side, name in zip(in_shares(keys.where("l"), keys.where("r"), "k", "sid"), "ab"))
     agree = (F.col("a.mb").bitwiseAND(F.col("b.mb")) != 0) & (F.col("a.mc").bitwiseAND(F.col("b.mc")) != 0)
     sizes = (F.col("a.n") >= SHARE * F.col("b.n")) & (F.col("b.n") >= SHARE * F.col("a.n"))
     pairs = (
-        a.join(b, F.col("a.k") == F.col("b.k"))
+        a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.share") == F.col("b.share")))
         .where((F.col("a.sid") != F.col("b.sid")) & sizes & agree)
         .select(F.least("a.sid", "b.sid").alias("s1"), F.greatest("a.sid", "b.sid").alias("s2"))
         .distinct()
@@ -166,8 +190,9 @@ def near_duplicate_groups(rows: DataFrame) -> DataFrame:
     return names.join(groups, names["lid"] == groups["node"]).select("listing_id", "component")
 
 
-def pairs_within(groups: DataFrame) -> DataFrame:
-    """All pairs of listings of a group, the smaller first."""
-    a = groups.select(F.col("component").alias("c1"), F.col("listing_id").alias("listing_id_a"))
-    b = groups.select(F.col("component").alias("c2"), F.col("listing_id").alias("listing_id_b"))
-    return a.join(b, (F.col("c1") == F.col("c2")) & (F.col("listing_id_a") < F.col("listing_id_b"))).select("listing_id_a", "listing_id_b")
+def pairs_within(groups: DataFrame, share_rows: int | None = None) -> DataFrame:
+    """All pairs of listings of a group, the smaller first; large groups are joined in shares."""
+    a, b = in_shares(groups, groups, "component", "listing_id", share_rows)
+    a = a.select(F.col("component").alias("c1"), F.col("share").alias("s1"), F.col("listing_id").alias("listing_id_a"))
+    b = b.select(F.col("component").alias("c2"), F.col("share").alias("s2"), F.col("listing_id").alias("listing_id_b"))
+    return a.join(b, (F.col("c1") == F.col("c2")) & (F.col("s1") == F.col("s2")) & (F.col("listing_id_a") < F.col("listing_id_b"))).select("listing_id_a", "listing_id_b")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: a photo is its key of 16 hex digits in the address, in either case.
 PHOTO_KEY = r"(?<![0-9a-fA-F])([0-9a-fA-F]{16})(?![0-9a-fA-F])"
-#: Most tokens that count as hot; more can't lie above the threshold that hot_tokens takes.
-HOT_BOUND = 100_000
+#: Most tokens that count as hot (8 MB of numbers); more can't lie above the threshold that hot_tokens takes.
+HOT_BOUND = 1_000_000
 
 
 def photo_keys(photos: Column) -> Column:

@@ -73,10 +73,11 @@ def rows(n=260, seed=1):
     return out + [(None, [address(keys[5], 0)], 50.0, 1e5, 40.0, None), out[3], out[3], ("bad", ["https://x.example/no-key.jpg", None], float("nan"), None, None, None)]
 
 
-@pytest.mark.parametrize("least", [64, 6])
-def test_matches_brute_force(spark, monkeypatch, least):
+@pytest.mark.parametrize("least,share_rows", [(64, 2000), (64, 3), (6, 2)])
+def test_matches_brute_force(spark, monkeypatch, least, share_rows):
     import kvartal.llm.near_duplicates as m
 
+    monkeypatch.setattr(m, "SHARE_ROWS", share_rows)
     monkeypatch.setattr(m, "hot_tokens", lambda sets, column: hot_tokens(sets, column, least))
     data = rows(seed=least)
     got = [tuple(r) for r in pairs_within(near_duplicate_groups(spark.createDataFrame(data, SCHEMA))).collect()]
@@ -89,6 +90,10 @@ def test_copies_of_one_set_under_many_listings(spark):
     data = [(f"L{i:03d}", [key], 50.0, 1e5, 40.0, None) for i in range(150)] + [(f"M{i:03d}", [key], 50.0 * 1.2**i, 1e5, 40.0, None) for i in range(1, 10)]
     groups = near_duplicate_groups(spark.createDataFrame(data, SCHEMA)).collect()
     assert len(groups) == 150 and len({r["component"] for r in groups}) == 1
+    table = spark.createDataFrame(groups)
+    for share_rows in (2000, 40):
+        got = [tuple(r) for r in pairs_within(table, share_rows).collect()]
+        assert len(got) == len(set(got)) == 150 * 149 // 2
 
 
 def test_empty(spark):
