@@ -72,7 +72,8 @@ def flats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.build_panel(flats(spark, sf_dir))
+    """The panel, written once: queries look it up many times, and it has a row per cell and month only."""
+    return stored(panels.build_panel(flats(spark, sf_dir)), "panel")
 
 
 def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
