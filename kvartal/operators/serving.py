@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
+from kvartal.constants import CITY_CENTRE, LAND, NODES, SCENARIOS, STATIONS
 from kvartal.functions.numeric import clip, finite, null_unless_finite, price_label, price_percentile, price_position, probability_label, signed_percent, width_label
 from kvartal.operators.panel import last_observed, price_band, recent_momentum
 
@@ -154,3 +155,22 @@ def plain_output(df: DataFrame) -> DataFrame:
 def photo_choice(listing_id: Column, photos: Column) -> Column:
     """One photo of a pool, always the same for a listing."""
     return F.when(F.size(photos) > 0, F.element_at(photos, (F.pmod(F.xxhash64(listing_id), F.size(photos)) + 1).cast("int")))
+
+
+def stations(spark: SparkSession) -> DataFrame:
+    """(name, lat, lon, opened, planned) of the stations."""
+    return spark.createDataFrame(STATIONS, "name string, lat double, lon double, opened string, planned string")
+
+
+def nodes(spark: SparkSession) -> DataFrame:
+    """(name, lat, lon) of the polycentric nodes."""
+    return spark.createDataFrame([(n, y, x) for n, (y, x) in NODES.items()], "name string, lat double, lon double")
+
+
+def configuration() -> dict:
+    """Centre, bounds of the land, scenarios, metrics and nodes, as an application asks for them."""
+    xs, ys = zip(*LAND)
+    return {
+        "centre": list(CITY_CENTRE), "bounds": {"lat_min": min(ys), "lat_max": max(ys), "lon_min": min(xs), "lon_max": max(xs)}, "scenarios": list(SCENARIOS), "metrics": list(METRICS),
+        "nodes": [{"name": n, "lat": y, "lon": x} for n, (y, x) in NODES.items()],
+    }

@@ -36,13 +36,103 @@ def evaluate_unit(name: str, listings: DataFrame, centres: DataFrame, edges: Dat
     months = sorted(r["month"] for r in fm.select("month").distinct().collect())  # the calendar's months
     plan = validation.walk_forward_splits(months)
     forward = models.against_naive(models.evaluate_walk_forward(fm, features.FEATURES, "price_azn_m2_median", plan[-splits:] if splits else plan, **trees))
-    folds = validation.block_folds(table, block)
+    # A block may be told from the cell's name or from its centre.
+    folds = validation.block_folds(table.select("h3").distinct().join(centres.select("h3", "lat", "lon"), "h3"), block)
     space = models.against_naive(models.evaluate_folds(fm, features.FEATURES, "price_azn_m2_median", folds, exclude=["nbr_price_prev_month"], **trees))
     gain = lambda df, n: df.select(validation.skill(F.col("mae"), F.col("naive_mae")).alias(n))
     parts = unit_summary(listings, table).crossJoin(within_variance_share(listings)).crossJoin(gain(forward, "wf_skill")).crossJoin(gain(space, "skill"))  # one row each
     return parts.select(F.lit(name).alias("name"), "*")
 
 
+def make_unit(kind: str, **settings) -> "Unit":
+    """A unit of analysis by kind: ``hex`` (edge_km), ``kdtree`` (target) or ``market`` (regions, cutoff_month)."""
+    kinds = {"hex": _hex_unit, "kdtree": _kd_unit, "market": _market_unit}
+    if kind not in kinds:
+        raise ValueError(f"unknown kind {kind!r}; one of {sorted(kinds)}")
+    return kinds[kind](**settings)
+
+
+class Unit:
+    """How a unit of analysis divides listings: ``divide(listings)`` gives (listings with h3, centres, edges, block Column)."""
+
+    def __init__(self, divide):
+        self.divide = divide
+
+
+def _hex_parts(listings: DataFrame, grid):
+    from kvartal.operators.graph import restrict
+
+    rows = listings.withColumn("h3", grid.cell(F.col("lat"), F.col("lon")))
+    cells = rows.select("h3").distinct()
+    lat, lon = grid.centroid(F.col("h3"))
+    return rows, cells.select("h3", lat.alias("lat"), lon.alias("lon")), restrict(grid.neighbours(cells), cells)
+
+
+def _hex_unit(edge_km: float = 0.53) -> Unit:
+    from kvartal.operators.tessellation import HexGrid
+
+    grid = HexGrid(edge_km=edge_km)
+    return Unit(lambda listings: (*_hex_parts(listings, grid), grid.block(F.col("h3"))))
+
+
+def _kd_unit(target: int = 140) -> Unit:
+    from kvartal.operators import graph, tessellation
+
+    def divide(listings: DataFrame):
+        cells = tessellation.fit_kd(listings, "lat", "lon", target).cells()
+        placed = tessellation.assign_boxes(listings, "listing_id", "lat", "lon", cells).withColumnRenamed("cell", "h3")
+        rows = listings.drop("h3").join(placed, "listing_id")
+        return rows, cells.select("h3", "lat", "lon"), graph.box_edges(cells), tessellation.kd_block(F.col("h3"))
+
+    return Unit(divide)
+
+
+def _market_unit(regions: int = 120, cutoff_month: str | None = None, edge_km: float = 0.53) -> Unit:
+    from kvartal.operators import clustering
+    from kvartal.operators.tessellation import HexGrid
+    from kvartal.sources.tables import stored
+
+    grid = HexGrid(edge_km=edge_km)
+
+    def divide(listings: DataFrame):
+        rows, centres, edges = _hex_parts(listings, grid)
+        rows = rows.withColumnRenamed("h3", "cell")
+        members = stored(clustering.market_regions(rows, edges, regions, cutoff_month), "regions")
+        middles = centres.withColumnRenamed("h3", "cell")
+        placed = clustering.assign_regions(rows, members, middles).withColumnRenamed("region", "h3")
+        means = members.join(middles, "cell").groupBy(F.col("region").alias("h3")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+        return placed, stored(means, "region-centres"), stored(clustering.region_edges(edges, members), "region-edges"), grid.block(grid.cell(F.col("lat"), F.col("lon")))
+
+    return Unit(divide)
+
+
+#: The units that the study compares: three sizes of hexagons, three of equal-count boxes, two numbers of market regions.
+CANDIDATES = {
+    "hex_1400": ("hex", {"edge_km": 1.4}), "hex_530": ("hex", {"edge_km": 0.53}), "hex_200": ("hex", {"edge_km": 0.2}), "kdtree_n70": ("kdtree", {"target": 70}), "kdtree_n140": ("kdtree", {"target": 140}),
+    "kdtree_n280": ("kdtree", {"target": 280}), "market_k120": ("market", {"regions": 120}), "market_k240": ("market", {"regions": 240}),
+}
+
+
+def compare_units(listings: DataFrame, cutoff_month: str | None = None, candidates: dict | None = None, splits: int | None = None, **trees) -> DataFrame:
+    """One row for each candidate unit of analysis (:func:`evaluate_unit`); market regions see months before ``cutoff_month`` only."""
+    from kvartal.sources.tables import stored
+
+    out = None
+    for name, (kind, settings) in (candidates or CANDIDATES).items():
+        settings = {**settings, "cutoff_month": cutoff_month} if kind == "market" else settings
+        rows, centres, edges, block = make_unit(kind, **settings).divide(listings)
+        rows, centres = stored(rows, "unit-rows"), stored(centres, "unit-centres")
+        one = stored(evaluate_unit(name, rows, centres, edges, block, splits=splits, **trees), "unit")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def recommended(study: DataFrame) -> str | None:
+    """Name of the viable unit with the best skill in space, None if none is viable."""
+    best = viable(study).first()
+    return best["name"] if best else None
+
+
 def viable(study: DataFrame, least_retained: float = 60.0, least_months: float = 12) -> DataFrame:
     """Units with enough data and history, the best skill first."""
     return study.where((F.col("retained_pct") >= least_retained) & (F.col("median_months") >= least_months)).orderBy(F.desc("skill"), "name")

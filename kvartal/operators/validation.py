@@ -37,7 +37,7 @@ def block_folds(cells: DataFrame, block: Column, folds: int = SPATIAL_FOLDS, see
     """
     if folds < 1:
         raise ValueError("folds must be at least 1")
-    tagged = cells.select("h3").distinct().withColumn("block", block)
+    tagged = cells.dropDuplicates(["h3"]).withColumn("block", block).select("h3", "block")
     tie = F.col("block") if seed is None else F.xxhash64("block", F.lit(seed))
     blocks = tagged.groupBy("block").agg(F.count("*").alias("n")).orderBy(F.desc("n"), tie).collect()
     if not blocks:

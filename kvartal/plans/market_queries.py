@@ -193,14 +193,15 @@ def metro_features(spark, sf_dir):
 
 @query(f"""WITH {PANEL}, {CENTRES}, {EDGES}, {_STATIONS}, ix AS (SELECT DISTINCT month, dense_rank() OVER (ORDER BY month) - 1 AS month_ix FROM pan),
 nb AS (SELECT pan.h3, pan.month, avg(q.p) AS v FROM pan JOIN edges ON src = pan.h3 JOIN pan q ON q.h3 = dst AND q.t = pan.t - 1 GROUP BY 1, 2),
-d AS (SELECT h3, month, min({km('mid.lat', 'mid.lon', 'st.y', 'st.x')}) AS d FROM mid CROSS JOIN ix JOIN st ON opened <= month GROUP BY 1, 2)
+d AS (SELECT h3, month, min({km('mid.lat', 'mid.lon', 'st.y', 'st.x')}) AS d, count(*) FILTER (WHERE {km('mid.lat', 'mid.lon', 'st.y', 'st.x')} <= 2.0) AS near FROM mid CROSS JOIN ix JOIN st ON opened <= month GROUP BY 1, 2)
 SELECT a.h3, a.month, round(a.p, 6) AS price_azn_m2_median, month_ix, round(l1.p, 6) AS lag_own_1m, round(l3.p, 6) AS lag_own_3m, round((l1.p - l4.p) / l4.p * 100, 6) AS mom_3m, round(nb.v, 6) AS nbr_price_prev_month,
-round(l1.new_share, 6) AS new_share_prev_month, l1.n AS n_listings_prev_month, round({_NEAREST}, 6) AS dist_nearest_node_km, round(d.d, 6) AS dist_metro_km
+round(l1.new_share, 6) AS new_share_prev_month, l1.n AS n_listings_prev_month, round({km('lat', 'lon', 40.3703, 49.8403)}, 6) AS dist_centre_km, {_NODES}, round({_NEAREST}, 6) AS dist_nearest_node_km, round(1 / (1 + {_NEAREST}), 6) AS node_gravity, ({_ZONES})::BIGINT AS in_redev_zone,
+round(d.d, 6) AS dist_metro_km, round({km('lat', 'lon', 40.3925, 49.8090)}, 6) AS dist_treatment_km, near AS n_stations_2km
 FROM pan a JOIN pan l1 ON l1.h3 = a.h3 AND l1.t = a.t - 1 LEFT JOIN pan l3 ON l3.h3 = a.h3 AND l3.t = a.t - 3 LEFT JOIN pan l4 ON l4.h3 = a.h3 AND l4.t = a.t - 4
 JOIN ix ON ix.month = a.month LEFT JOIN nb ON nb.h3 = a.h3 AND nb.month = a.month LEFT JOIN mid ON mid.h3 = a.h3 LEFT JOIN d ON d.h3 = a.h3 AND d.month = a.month""")
 def feature_matrix(spark, sf_dir):
     out = features.feature_matrix(panel(spark, sf_dir), centres(spark, sf_dir), edges(spark, sf_dir))
-    return rounded(out.select("h3", "month", "price_azn_m2_median", *features.PANEL_FEATURES, "dist_nearest_node_km", "dist_metro_km"))
+    return rounded(out.select("h3", "month", "price_azn_m2_median", *features.FEATURES))
 
 
 _LAND = "land AS (SELECT * FROM (VALUES " + ", ".join(f"({x1}, {y1}, {x2}, {y2})" for (x1, y1), (x2, y2) in zip(LAND, LAND[1:] + LAND[:1]) if y1 != y2) + ") e(x1, y1, x2, y2))"
@@ -434,7 +435,10 @@ def walk_forward(spark, sf_dir):
     return validation.split_table(spark, validation.walk_forward_splits(months))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT block, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, block) AS k FROM (SELECT h3, 'blk:' || substr(split_part(h3, ':', 2), 1, 3) AS block FROM cells) GROUP BY 1),
+g AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS sizes, ''::VARCHAR AS block, 0::BIGINT AS fold
+  UNION ALL SELECT b.k, list_transform(range(1, 6), lambda i: g.sizes[i] + CASE WHEN i = list_position(g.sizes, list_min(g.sizes)) THEN b.n ELSE 0 END), b.block, list_position(g.sizes, list_min(g.sizes))::BIGINT - 1 FROM g JOIN b ON b.k = g.k + 1)
+SELECT h3, fold::INT AS fold FROM cells JOIN g ON g.block = 'blk:' || substr(split_part(h3, ':', 2), 1, 3)""")
 def block_folds(spark, sf_dir):
     """Folds of whole blocks, balanced greedily."""
     return validation.block_folds(table(spark, sf_dir, "cells"), kd_block(F.col("h3")))
@@ -587,6 +591,49 @@ def listing_page(spark, sf_dir):
     return serving.page(_search(spark, sf_dir), "price_desc", 2, 20, key="row_no").select("row_no", "page", "total", "total_pages")
 
 
+_SORTED = {"price_asc": "coalesce(price_azn, 0)", "price_desc": "coalesce(price_azn, 0) DESC", "price_m2_asc": "price_azn_m2", "price_m2_desc": "price_azn_m2 DESC", "area_desc": "coalesce(area_m2, 0) DESC", "newest": "listed_month DESC"}
+
+
+@query(f"WITH {FLATS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS sort, row_no FROM flats ORDER BY {order}, row_no LIMIT 20)" for name, order in _SORTED.items()))
+def listing_sorts(spark, sf_dir):
+    """The first page in every order that listings alone have."""
+    rows, out = flats(spark, sf_dir), None
+    for name in _SORTED:
+        one = serving.page(rows, name, 1, 20, key="row_no").select(F.lit(name).alias("sort"), "row_no")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {FLATS} SELECT row_no, price_azn_m2 FROM flats WHERE listing_id = (SELECT min(listing_id) FROM flats)")
+def listing_by_id(spark, sf_dir):
+    rows = flats(spark, sf_dir)
+    return serving.by_id(rows, rows.agg(F.min("listing_id")).first()[0]).select("row_no", "price_azn_m2")
+
+
+@query(f"WITH {PANEL} SELECT month, round(p, 6) AS price, n AS n_listings FROM pan WHERE h3 = (SELECT min(h3) FROM pan)")
+def cell_history(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return rounded(serving.cell_history(p, p.agg(F.min("h3")).first()[0]).select("month", F.col("price_azn_m2_median").alias("price"), "n_listings"))
+
+
+@query(f"WITH {_PRED} SELECT scenario, horizon_months, round(q10, 4) AS q10, round(q50, 4) AS q50, round(q90, 4) AS q90 FROM pred WHERE h3 = (SELECT min(h3) FROM pred)")
+def cell_forecast(spark, sf_dir):
+    found = stored(_predictions(spark, sf_dir), "predictions")
+    return rounded(serving.cell_forecast(found, found.agg(F.min("h3")).first()[0]).select("scenario", "horizon_months", "q10", "q50", "q90"), 4)
+
+
+@query(f"""WITH {_PRED}, one AS (SELECT * FROM pred WHERE scenario = 'transit' AND horizon_months = 24), cur AS (SELECT h3, arg_max(p, month) AS v FROM pan GROUP BY 1)
+SELECT 'appreciation_pct' AS metric, h3, round(appreciation_pct, 4) AS value FROM one UNION ALL SELECT 'q50', h3, round(q50, 4) FROM one UNION ALL SELECT 'hotspot_prob', h3, round(hotspot_prob, 4) FROM one
+UNION ALL SELECT 'uncertainty', h3, round(q90 - q10, 4) FROM one UNION ALL SELECT 'current_price', h3, round(v, 4) FROM one JOIN cur USING (h3)""")
+def map_layers(spark, sf_dir):
+    """The layer of every metric of the map."""
+    found, p, out = stored(_predictions(spark, sf_dir), "predictions"), panel(spark, sf_dir), None
+    for name in serving.METRICS:
+        one = serving.layer_values(found, p, "transit", 24, name).select(F.lit(name).alias("metric"), "h3", "value")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 4)
+
+
 @query(f"WITH {FLATS} SELECT list_sort(list(DISTINCT district) FILTER (WHERE district <> '')) AS districts, round(min(price_azn), 4) AS price_azn_min, round(max(price_azn), 4) AS price_azn_max, min(area_m2) AS area_m2_min, max(area_m2) AS area_m2_max FROM flats")
 def facets(spark, sf_dir):
     return rounded(serving.facets(flats(spark, sf_dir)), 4)
@@ -610,7 +657,20 @@ def price_positions(spark, sf_dir):
     return rows.select("row_no", price_position(F.col("price_azn_m2"), F.col("p10"), F.col("p90"), F.col("last_price")).alias("price_position"), F.round(price_percentile(F.col("price_azn_m2"), F.col("p10"), F.col("p90")), 3).alias("price_percentile"))
 
 
-@query()
+_ENRICH = f"""{_PRED}, {_STATIONS},
+ft AS (SELECT mid.h3, min({km('mid.lat', 'mid.lon', 'st.y', 'st.x')}) AS dm FROM mid CROSS JOIN st WHERE opened <= '2026-08' GROUP BY 1),
+fc AS (SELECT h3, (rank() OVER (ORDER BY dm) - 1) * 100.0 / count(*) OVER () AS metro, (rank() OVER (ORDER BY g) - 1) * 100.0 / count(*) OVER () AS grav FROM ft JOIN gr USING (h3)),
+kk AS (SELECT h3, p, row_number() OVER (PARTITION BY h3 ORDER BY month DESC) AS k, count(*) OVER (PARTITION BY h3) AS n FROM pan),
+m0 AS (SELECT h3, avg(p) FILTER (WHERE k <= 3) AS late, avg(p) FILTER (WHERE k > 3 AND (n < 7 OR k <= 6)) AS early FROM kk WHERE n >= 4 GROUP BY 1),
+mo AS (SELECT h3, (late - early) / early * 100 AS mom, (rank() OVER (ORDER BY (late - early) / early * 100) - 1) * 100.0 / count(*) OVER () AS mr FROM m0),
+ap AS (SELECT h3, q50 AS q12, (rank() OVER (ORDER BY appreciation_pct) - 1) * 100.0 / count(*) OVER () AS ar FROM pred WHERE scenario = 'baseline' AND horizon_months = 12),
+pb AS (SELECT h3, quantile_cont(p, 0.1) AS a, quantile_cont(p, 0.9) AS z, arg_max(p, month) AS last FROM pan GROUP BY 1)"""
+
+
+@query(f"""WITH {_ENRICH} SELECT row_no, CASE WHEN a IS NULL THEN 'unknown' WHEN price_azn_m2 < a THEN 'underpriced' WHEN price_azn_m2 > z THEN 'overpriced' WHEN price_azn_m2 < last THEN 'below average' ELSE 'above average' END AS price_position,
+round_even(coalesce(mom, 0), 1) AS momentum_3m_pct,
+greatest(0, least(100, round_even(0.30 * coalesce(ar, 0) + 0.25 * CASE WHEN q12 <> 0 AND price_azn_m2 > 0 THEN greatest(0.0, least(100.0, 50 + (q12 - price_azn_m2) / q12 * 200)) ELSE 50 END + 0.20 * (100 - coalesce(metro, 100)) + 0.15 * coalesce(grav, 0) + 0.10 * coalesce(mr, 0), 0)))::INT AS investment_score
+FROM flats LEFT JOIN pb USING (h3) LEFT JOIN fc USING (h3) LEFT JOIN mo USING (h3) LEFT JOIN ap USING (h3)""")
 def enrich_listings(spark, sf_dir):
     """Listings with their cell's figures and an investment score."""
     mid = centres(spark, sf_dir)
@@ -618,7 +678,7 @@ def enrich_listings(spark, sf_dir):
     facts = features.masterplan_features(mid).join(metro, "h3")
     rows = flats(spark, sf_dir).withColumnRenamed("h3", "cell")
     out = serving.enrich(rows, panel(spark, sf_dir), facts, _predictions(spark, sf_dir))
-    return out.select("row_no", "price_position", "price_percentile", "momentum_3m_pct", "investment_score")
+    return out.select("row_no", "price_position", "momentum_3m_pct", "investment_score")
 
 
 @query(f"WITH {PANEL} SELECT round((SELECT avg(v) FROM (SELECT var_samp(ln(price_azn_m2)) AS v FROM flats GROUP BY h3)) / (SELECT var_pop(ln(price_azn_m2)) FROM flats), 6) AS within_var_share")
@@ -647,6 +707,69 @@ def normal_scores(spark, sf_dir):
     return rounded(table(spark, sf_dir, "places").select("place_id", normal_cdf((F.col("radius_m") - 300) / 100).alias("cdf")))
 
 
+# ---------------------------------------------------------------- facts, outlines, single listings
+
+
+@query(f"WITH {_STATIONS} SELECT name, y::DOUBLE AS lat, x::DOUBLE AS lon, opened, planned FROM st")
+def stations(spark, sf_dir):
+    return serving.stations(spark)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {y}::DOUBLE, {x}::DOUBLE)" for n, (y, x) in NODES.items()) + ") n(name, lat, lon)")
+def polycentric_nodes(spark, sf_dir):
+    return serving.nodes(spark)
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.cells_geojson(table(spark, sf_dir, "cells"), clip=False)
+
+
+@query("SELECT 'blk:' || substr(split_part(h3, ':', 2), 1, 3) AS block, round(sum((lat_max - lat_min) * (lon_max - lon_min)), 6) AS area, count(*) AS n_cells FROM cells GROUP BY 1")
+def block_outlines(spark, sf_dir):
+    """Area of each block's dissolved outline, holes taken off, in square degrees."""
+    from kvartal.operators.outlines import dissolved
+
+    shapes = dissolved(_boxes(spark, sf_dir).withColumn("block", kd_block(F.col("h3"))), "block")
+    shape = F.from_json("feature", "geometry struct<type: string, coordinates: string>, properties struct<n_cells: long>")
+    one, many = F.from_json("f.geometry.coordinates", "array<array<array<double>>>"), F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")
+    rings = F.when(F.col("f.geometry.type") == "Polygon", one).otherwise(F.flatten(many))
+    half = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda s, i: s + (F.get(F.get(r, i - 1), F.lit(0)) * F.get(F.get(r, i), F.lit(1)) - F.get(F.get(r, i), F.lit(0)) * F.get(F.get(r, i - 1), F.lit(1))) / 2)
+    rows = shapes.select("block", shape.alias("f")).select("block", "f.properties.n_cells", F.explode(rings).alias("ring"))
+    return rows.groupBy("block").agg(F.round(F.sum(half(F.col("ring"))), 6).alias("area"), F.first("n_cells").alias("n_cells"))
+
+
+@query(f"""WITH p AS (SELECT row_no, lat, lon FROM listings WHERE lat IS NOT NULL AND lon IS NOT NULL),
+d AS (SELECT row_no, h3, round(sqrt(pow(greatest(0, lon_min - lon, lon - lon_max), 2) + pow(greatest(0, lat_min - lat, lat - lat_max), 2)), 9) AS d FROM p CROSS JOIN cells)
+SELECT row_no, round(min(d), 6) AS away FROM d GROUP BY 1""")
+def nearest_cells(spark, sf_dir):
+    """How far, in degrees, each listing is from the cell polygon nearest to it."""
+    from kvartal.operators.outlines import nearest_polygon
+
+    rows = table(spark, sf_dir, "listings")
+    found = nearest_polygon(rows, "row_no", "lat", "lon", _boxes(spark, sf_dir))
+    gap = lambda v, low, high: F.greatest(F.lit(0.0), F.col(low) - F.col(v), F.col(v) - F.col(high))
+    sides = found.join(table(spark, sf_dir, "cells").select("h3", "lat_min", "lat_max", "lon_min", "lon_max"), "h3").join(rows.select("row_no", "lat", "lon"), "row_no")
+    x, y = gap("lon", "lon_min", "lon_max"), gap("lat", "lat_min", "lat_max")
+    return sides.select("row_no", F.round(F.round(F.sqrt(x * x + y * y), 9), 6).alias("away"))
+
+
+@query(f"WITH {FLATS}, {EDGES}, m AS (SELECT h3, median(price_azn_m2) AS m FROM flats GROUP BY 1) SELECT src AS h3, round(avg(m), 6) AS nbr_price FROM edges JOIN m ON m.h3 = dst GROUP BY 1")
+def neighbour_price(spark, sf_dir):
+    from kvartal.operators.cross_section import neighbour_price as around
+
+    return rounded(around(flats(spark, sf_dir), edges(spark, sf_dir)))
+
+
+@query()
+def listing_model_folds(spark, sf_dir):
+    """Errors of a model of single listings, as plain means over spatial folds."""
+    from kvartal.operators import cross_section
+
+    rows = cross_section.listing_features(flats(spark, sf_dir), centres(spark, sf_dir), edges(spark, sf_dir), "2026-08")
+    folds = validation.block_folds(table(spark, sf_dir, "cells"), kd_block(F.col("h3")))
+    return cross_section.mean_of_folds(cross_section.evaluate_listings(stored(rows, "listing-features"), folds))
+
+
 # ---------------------------------------------------------------- models
 
 

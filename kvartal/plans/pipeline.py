@@ -59,5 +59,5 @@ def run(listings: DataFrame, out_dir: str, target: int = 140, min_train: int = 1
         "walk_forward": forward.asDict(), "spatial": spatial.asDict(), "coverage": covered.asDict(), "effect": effect, "importances": dict(model.importances()),
     }
     write_tables(out_dir, {"listings": placed, "panel": panel, "zones": zone_table, "predictions": ahead_all, "cell_features": mid.join(mp, "h3").join(folds, "h3", "left").fillna({"fold": -1})})
-    write_documents(out_dir, {"metrics": metrics})
+    write_documents(listings.sparkSession, out_dir, {"metrics": metrics})
     return metrics

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +90,26 @@ def generate_listings(spark: SparkSession, truth: Truth = Truth()) -> tuple[Data
     again = again.withColumn("listing_id", F.format_string("GEN-DUP-%07d", key)).withColumn("image_phash", F.when(bit >= 0, flipped)).withColumn("price_azn_m2", F.round(F.col("price_azn_m2") * (0.98 + 0.04 * uniform(key, s, 17)), 1))
     again = again.withColumn("lat", F.round(F.col("lat") + 0.0002 * gauss(key, s, 9), 6)).withColumn("lon", F.round(F.col("lon") + 0.0002 * gauss(key, s, 10), 6)).withColumn("description", F.concat(F.lit("Urgent! "), F.col("description")))
     return base.drop("id").unionByName(again.select(*[c for c in base.columns if c != "id"])), again.select("listing_id", "original")
+
+
+def truth_document(truth: Truth, listings: DataFrame, copies: DataFrame) -> dict:
+    """What was planted: parameters, months, the treated station, re-posts with their originals, and sizes."""
+    planned = next(p for n, *_rest, p in STATIONS if n == TREATMENT)
+    repeated = copies.count()
+    return {
+        "planted": asdict(truth), "panel_start": truth.start, "panel_end": truth.end, "treatment_station": TREATMENT, "treatment_open_month": planned,
+        "n_base_listings": listings.count() - repeated, "n_duplicates": repeated,
+    }
+
+
+def save_generated(spark: SparkSession, out_dir: str, truth: Truth = Truth()) -> tuple[str, str]:
+    """Write ``listings.parquet``, the map of re-posts as ``duplicate_map.parquet``, and ``truth.json`` with the planted values; the paths of the first and last.
+
+    The map grows with the listings, so it is a table of its own.
+    """
+    from kvartal.sources.sinks import write_documents, write_tables
+
+    listings, copies = generate_listings(spark, truth)
+    write_tables(out_dir, {"listings": listings, "duplicate_map": copies})
+    write_documents(spark, out_dir, {"truth": truth_document(truth, spark.read.parquet(f"{out_dir}/listings.parquet"), spark.read.parquet(f"{out_dir}/duplicate_map.parquet"))})
+    return f"{out_dir}/listings.parquet", f"{out_dir}/truth.json"

@@ -43,6 +43,42 @@ def fetch_pages(post: Callable[[dict], tuple[int, dict]], max_pages: int = 5, pa
             return
 
 
+def http_post(url: str, query: str, headers: dict[str, str] | None = None, timeout: float = 30.0) -> Callable[[dict], tuple[int, dict]]:
+    """A transport for :func:`fetch_pages`: JSON requests to ``url``; status 0 where none came back."""
+    import urllib.error
+    import urllib.request
+
+    def post(variables: dict) -> tuple[int, dict]:
+        data = json.dumps({"query": query, "variables": variables}).encode()
+        request = urllib.request.Request(url, data, {"Content-Type": "application/json", "Accept": "application/json", **(headers or {})})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return answer.status, json.loads(answer.read())
+        except urllib.error.HTTPError as error:
+            return error.code, {}
+        except (OSError, ValueError):
+            return 0, {}
+
+    return post
+
+
+def fetch_to_parquet(spark: SparkSession, post: Callable[[dict], tuple[int, dict]], path: str, today, max_pages: int = 5, page_size: int = 25, pause: Callable[[], None] = lambda: None) -> str:
+    """Fetch nodes, normalise them, and write them under the listings contract, with all its columns also where nothing came.
+
+    Nodes are at most ``max_pages`` pages of PAGE_LIMIT.  ``today`` is the
+    Column of the date that relative dates count from.
+    """
+    from pyspark.sql import functions as F
+
+    from kvartal.functions.parsing import flatten_node, normalise_nodes
+    from kvartal.schema import LISTINGS, conform
+
+    found = [(json.dumps(n, ensure_ascii=False),) for n in fetch_pages(post, max_pages, page_size, pause)]
+    nodes = spark.createDataFrame(found, "node string").select(F.from_json("node", NODE).alias("node"))
+    conform(normalise_nodes(flatten_node(nodes), today), LISTINGS).write.mode("overwrite").parquet(path)
+    return path
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -174,7 +174,7 @@ def test_study(spark):
 
 def test_artifacts(spark, tmp_path):
     write_tables(str(tmp_path), {"panel": spark.range(3)})
-    write_documents(str(tmp_path), {"metrics": {"a": float("nan"), 1: np.float64(2), "r": spark.range(1).first()}})
+    write_documents(spark, str(tmp_path), {"metrics": {"a": float("nan"), 1: np.float64(2), "r": spark.range(1).first()}})
     got = load_artifacts(spark, str(tmp_path), ["panel", "metrics", "absent"])
     assert got["panel"].count() == 3 and got["metrics"] == {"a": None, "1": 2.0, "r": {"id": 0}} and "absent" not in got and plain([float("inf")]) == [None]
 
