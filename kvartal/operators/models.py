@@ -201,6 +201,9 @@ def evaluate_folds(df: DataFrame, features: list[str], target: str, folds: DataF
 
 def against_naive(predictions: DataFrame) -> DataFrame:
     """One row with pooled measures of model and naive prediction."""
+    from kvartal.sources.tables import stored
+
+    predictions = stored(predictions, "evaluated")  # else every model would be fitted once for each side
     own = metrics(predictions, "actual", "prediction")
     naive = metrics(predictions, "actual", "naive")
     return own.crossJoin(naive.select(*[F.col(c).alias("naive_" + c) for c in naive.columns]))  # one row each
