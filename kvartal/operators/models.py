@@ -24,7 +24,7 @@ from kvartal.operators.validation import metrics
 __all__ = ["TREES", "PriceModel", "SparkPriceModel", "model_of", "evaluate_walk_forward", "evaluate_folds", "against_naive", "mean_abs_contributions", "permutation_effect", "quantile_intervals"]
 
 #: Rows (of training, over all splits at once) that go to tasks whole.
-TASK_ROWS = 2_000_000
+TASK_ROWS = 1_000_000
 
 
 def _usable(df: DataFrame, features: list[str]) -> DataFrame:
