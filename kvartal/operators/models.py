@@ -25,6 +25,7 @@ __all__ = ["TREES", "PriceModel", "SparkPriceModel", "model_of", "evaluate_walk_
 
 #: Rows (of training, over all splits at once) that go to tasks whole.
 TASK_ROWS = 1_000_000
+SPLIT_PARTITIONS = 64
 
 
 def _usable(df: DataFrame, features: list[str]) -> DataFrame:
@@ -156,7 +157,8 @@ def _side_by_side(rows: DataFrame, features: list[str], target: str, month: str
         out["prediction"] = Booster.of(seed, **trees).fit(train[features].to_numpy(), train[target].to_numpy()).predict(test[features].to_numpy()) if len(train) and len(test) else np.nan
         return pd.DataFrame(out | ({"naive": test[naive]} if naive else {}))
 
-    return rows.select("split", "role", *cast).groupBy("split").applyInPandas(run, schema)
+    # Each split is much work on little data: a fixed number of partitions keeps small ones from being put together.
+    return rows.select("split", "role", *cast).repartition(SPLIT_PARTITIONS, "split").groupBy("split").applyInPandas(run, schema)
 
 
 def evaluate_walk_forward(df: DataFrame, features: list[str], target: str, splits, naive: str = "lag_own_1m", month: str = "month", seed: int = 0, **trees) -> DataFrame:
