@@ -14,7 +14,8 @@ LEAST_TEST, LEAST_TRAIN = 10, 50
 EVALUATION_TREES = {"maxIter": 200, "stepSize": 0.1}
 FINAL_TREES = {"maxIter": 300, "stepSize": 0.1}
 OWN = ["area_m2", "rooms", "floor", "building_floors", "is_new"]
-FEATURES = [*OWN, *features.MASTERPLAN, "dist_metro_km", "n_stations_2km", "nbr_price"]
+OF_CELLS = [*features.MASTERPLAN, "dist_metro_km", "n_stations_2km", "nbr_price"]
+FEATURES = [*OWN, *OF_CELLS]
 
 
 def neighbour_price(listings: DataFrame, edges: DataFrame, cell: str = "h3", price: str = "price_azn_m2") -> DataFrame:
@@ -39,7 +40,7 @@ def mean_of_folds(predictions: DataFrame) -> DataFrame:
 
 def evaluate_listings(rows: DataFrame, folds: DataFrame, target: str = "price_azn_m2", seed: int = 0, **trees) -> DataFrame:
     """Predictions (split, actual, prediction) of each fold of cells by a model of the others; folds too small to tell anything are left out."""
-    return models.evaluate_folds(rows, FEATURES, target, folds, naive=None, seed=seed, least_test=LEAST_TEST, least_train=LEAST_TRAIN, **{**EVALUATION_TREES, **trees})
+    return models.evaluate_folds(rows, FEATURES, target, folds, naive=None, seed=seed, least_test=LEAST_TEST, least_train=LEAST_TRAIN, shared=OF_CELLS, **{**EVALUATION_TREES, **trees})
 
 
 def cell_prices(rows: DataFrame, target: str = "price_azn_m2", share: float = 0.8, seed: int = 0, **trees) -> DataFrame:

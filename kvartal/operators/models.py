@@ -17,6 +17,7 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as w
 
 from kvartal.operators.boosting import TREES, Booster
 from kvartal.operators.validation import metrics
@@ -131,8 +132,6 @@ def permutation_effect(model, df: DataFrame, top: int = 15, seed: int = 7) -> Da
     Rows are paired by hash order within shares, so no sort of the whole table
     goes through one task.
     """
-    from pyspark.sql import window as w
-
     base = model.predict(df.withColumn("_id", F.monotonically_increasing_id()))
     by = w.Window.partitionBy(F.pmod("_id", F.lit(64))).orderBy(F.xxhash64("_id", F.lit(seed)))
     out = None
@@ -161,6 +160,54 @@ def _side_by_side(rows: DataFrame, features: list[str], target: str, month: str
     return rows.select("split", "role", *cast).repartition(SPLIT_PARTITIONS, "split").groupBy("split").applyInPandas(run, schema)
 
 
+def _with_shared(rows: DataFrame, few: DataFrame, own: list[str], shared: list[str], target: str, naive: str | None, seed: int, trees: dict) -> DataFrame:
+    """As ``_side_by_side`` without months, for features ``own`` of each row and ``shared`` of its cell: ``rows`` have split, role and cell, ``few`` split, cell and ``shared``."""
+    import pyarrow as pa
+
+    naives = [naive] if naive else []
+    needed = list(dict.fromkeys([*own, target, *naives]))
+    schema = "split int, actual double, prediction double" + (", naive double" if naive else "")
+
+    def floats(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy().astype(float, copy=False)  # NULL is NaN
+
+    def run(rows: pa.Table, few: pa.Table) -> pa.Table:
+        cells = few.column("of_cell").to_numpy()
+        by_cell = np.argsort(cells)
+        shape = np.stack([floats(few, c)[by_cell] for c in shared], axis=1)
+        at = np.searchsorted(cells[by_cell], rows.column("cell").to_numpy()).astype(np.int32)
+        y, test = floats(rows, target), rows.column("test").to_numpy()
+        x = np.stack([floats(rows, c) for c in own], axis=0).T if own else np.zeros((len(y), 0))
+        extra = {"naive": floats(rows, naive)} if naive else {}
+        split = rows.column("split")[0].as_py() if len(y) else 0
+        del rows
+        learn, told = _ordered(y, x, shape, at, np.flatnonzero(~test & ~np.isnan(y))), np.flatnonzero(test & ~np.isnan(y))
+        predicted = np.full(len(told), np.nan)
+        if len(learn) and len(told):
+            predicted = Booster.of(seed, **trees).fit(x[learn], y[learn], shape, at[learn]).predict(x[told], shape, at[told])
+        out = {"split": np.full(len(told), split, dtype=np.int32), "actual": y[told], "prediction": predicted}
+        return pa.table(out | {k: v[told] for k, v in extra.items()})
+
+    cast = [F.col(c).cast("double").alias(c) for c in needed]
+    left = rows.select("split", (F.col("role") == "test").alias("test"), "cell", *cast).repartition(SPLIT_PARTITIONS, "split").groupBy("split")
+    # Both come from the same rows, so these columns need other names.
+    right = few.select(F.col("split").alias("of_split"), F.col("cell").alias("of_cell"), *[F.col(c).cast("double").alias(c) for c in shared]).repartition(SPLIT_PARTITIONS, "of_split").groupBy("of_split")
+    return left.cogroup(right).applyInArrow(run, schema)
+
+
+def _ordered(y: np.ndarray, x: np.ndarray, shared: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``rows`` by target and then by features, an order that doesn't hang on how they arrive."""
+    rows = rows[np.argsort(y[rows], kind="stable")]
+    again = np.diff(y[rows]) == 0
+    tied = np.flatnonzero(np.concatenate([again, [False]]) | np.concatenate([[False], again]))
+    if len(tied):
+        # Cells with the same features are alike, so their rank may stand for the features.
+        rank = np.unique(shared, axis=0, return_inverse=True)[1].reshape(-1) if shared.shape[1] else np.zeros(len(shared), dtype=np.int64)
+        some = rows[tied]
+        rows[tied] = some[np.lexsort([rank[at[some]], *x[some].T[::-1], y[some]])]
+    return rows
+
+
 def evaluate_walk_forward(df: DataFrame, features: list[str], target: str, splits, naive: str = "lag_own_1m", month: str = "month", seed: int = 0, **trees) -> DataFrame:
     """Predictions of every split's test months with the naive one: (split, month, actual, prediction, naive)."""
     from kvartal.operators.validation import split_table
@@ -177,20 +224,28 @@ def evaluate_walk_forward(df: DataFrame, features: list[str], target: str, split
     return out
 
 
-def evaluate_folds(df: DataFrame, features: list[str], target: str, folds: DataFrame, naive: str | None = "lag_own_1m", exclude: list[str] | None = None, seed: int = 0, least_test: int = 1, least_train: int = 1, **trees) -> DataFrame:
+def evaluate_folds(df: DataFrame, features: list[str], target: str, folds: DataFrame, naive: str | None = "lag_own_1m", exclude: list[str] | None = None, seed: int = 0, least_test: int = 1, least_train: int = 1, shared: list[str] | None = None, **trees) -> DataFrame:
     """Predictions of each fold by a model of the others: (split, actual, prediction, naive).
 
     Folds with fewer than ``least_test`` rows, or others with fewer than
-    ``least_train``, are left out; so are cells without a fold.
+    ``least_train``, are left out; so are cells without a fold.  Features in
+    ``shared`` have one value in each cell and go to the tasks once a cell.
     """
     used = [c for c in features if c not in (exclude or [])]
-    rows = df.join(folds.select("h3", "fold"), "h3").where("fold >= 0")
+    of_cells = [c for c in used if c in (shared or [])]
+    places = folds.select("h3", "fold")
+    if of_cells:
+        places = places.withColumn("cell", F.row_number().over(w.Window.orderBy("h3")))  # a row for each cell
+    rows = df.join(places, "h3").where("fold >= 0")
     counts = {r["fold"]: r["count"] for r in rows.where(F.col(target).isNotNull()).groupBy("fold").count().collect()}  # one row a fold
     total = sum(counts.values())
     kept = sorted(k for k, n in counts.items() if n >= least_test and total - n >= least_train)
     if total <= TASK_ROWS:
         each = F.explode(F.array(*[F.lit(int(k)) for k in kept])) if kept else F.explode(F.array().cast("array<int>"))
         sided = rows.select("*", each.alias("split")).withColumn("role", F.when(F.col("fold") == F.col("split"), "test").otherwise("train"))
+        if of_cells:
+            few = rows.groupBy("cell").agg(*[F.first(c).alias(c) for c in of_cells]).select("*", each.alias("split"))
+            return _with_shared(sided, few, [c for c in used if c not in of_cells], of_cells, target, naive, seed, trees)
         return _side_by_side(sided, used, target, None, naive, seed, trees)
     out = None
     for k in kept:

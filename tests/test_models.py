@@ -27,6 +27,47 @@ def test_booster_learns_and_takes_missing_values():
     assert Booster(3).fit(x[:0], y[:0]).predict(x[:2]).tolist() == [0.0, 0.0]
 
 
+def test_features_that_go_together_are_summed_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, cells = 20_000, rng.normal(size=(40, 15))
+    cells[5, 2] = np.nan
+    at, own = rng.integers(0, 40, n), np.column_stack([rng.normal(size=n), rng.integers(1, 6, n), rng.integers(0, 2, n)])
+    own[rng.random(n) < 0.05, 0] = np.nan
+    y = np.nan_to_num(own[:, 0]) + cells[at, 0] + rng.normal(0, 0.3, n)
+    x, count, summed = np.column_stack([own, cells[at]]), np.bincount, []
+    monkeypatch.setattr(np, "bincount", lambda v, *a, **k: summed.append(len(v)) or count(v, *a, **k))
+    b = Booster(5, 6, 0.1).fit(x, y)
+    assert sum(summed) < 60 * n * 5  # row by row and feature by feature, 100 sums of each kind for a tree of these
+    again = Booster(5, 6, 0.1).fit(own, y, cells, at)
+    assert np.allclose(again.predict(own, cells, at), b.predict(x)) and (again.feature == b.feature).all()
+    whole = Booster(1, 6, 1.0, rows=1.0, columns=1.0, penalty=1e-9).fit(x, y)
+    leaf = pd.DataFrame({"y": y, "p": whole.predict(x)}).groupby("p").y.mean()
+    assert len(leaf) == 64 and np.allclose(leaf.index, leaf)  # every leaf has the mean of its rows, though half of the sums are differences
+
+
+def test_splits_that_part_rows_alike_go_to_the_first_feature():
+    rng = np.random.default_rng(4)
+    at, y = rng.integers(0, 4, 3000), rng.normal(1e5, 3e4, 3000)
+    x = np.column_stack([at * 2.0, rng.normal(size=3000), at + 10.0])
+    b = Booster(40, 4, 0.1, columns=1.0).fit(x, y)
+    assert not (b.feature == 2).any() and (b.feature == 0).any()
+    turned = np.random.default_rng(5).permutation(3000)
+    one, two = (Booster(10, 4, 0.1, rows=1.0, columns=1.0).fit(x[o], y[o]) for o in (np.arange(3000), turned))
+    assert (one.feature == two.feature).all() and (one.cut == two.cut).all()
+
+
+def test_rows_of_equal_target_have_one_order():
+    rng = np.random.default_rng(6)
+    y, x, at = rng.integers(0, 9, 500).astype(float), rng.integers(0, 3, (500, 2)).astype(float), rng.integers(0, 5, 500)
+    shared = rng.normal(size=(5, 2))
+    x[::7, 0] = np.nan
+    got = []
+    for o in (np.arange(500), rng.permutation(500)):
+        rows = models._ordered(y[o], x[o], shared, at[o], np.arange(500))
+        got.append(np.column_stack([y[o], x[o], shared[at[o]]])[rows])
+    assert np.array_equal(*got, equal_nan=True) and (np.diff(got[0][:, 0]) >= 0).all()
+
+
 @pytest.mark.parametrize("q", [0.1, 0.5, 0.9])
 def test_quantile_booster_covers_its_share(q):
     x, y = planted(3000, 2)
@@ -57,6 +98,17 @@ def test_evaluations_side_by_side_are_those_of_single_models(spark):
     assert out.count() == df.where("h3 not in ('c0', 'c1') and not isnan(target)").count()
 
 
+def test_shared_features_go_to_the_tasks_once_a_cell(spark):
+    df = table(spark).drop("d").withColumn("d", F.when(F.col("h3") != "c4", F.length("h3") + F.substring("h3", 2, 2).cast("double") % 5)).withColumn("near", F.col("target") + 1)
+    folds = df.select("h3").distinct().withColumn("fold", F.when(F.col("h3") == "c0", -1).otherwise(F.substring("h3", 2, 2).cast("int") % 3))
+    names, small = list("abcd"), {"maxIter": 15, "maxDepth": 3, "stepSize": 0.2, "naive": "near"}
+    key = ["split", "actual", "prediction", "naive"]
+    plain, shared = (models.evaluate_folds(df, names, "target", folds, shared=s, **small).select(key).orderBy("split", "actual").toPandas() for s in (None, ["d"]))
+    assert len(plain) == len(shared) > 500 and np.allclose(plain, shared)
+    none = models.evaluate_folds(df, names, "target", folds, shared=["d"], least_test=10_000, **small)
+    assert none.columns == key and none.count() == 0
+
+
 def test_quantile_intervals_cover(spark):
     df, months = table(spark, 1800).where(~F.isnan("target")), [f"2024-{i:02d}" for i in range(1, 13)]
     rows, _ = models.quantile_intervals(df, list("abcd"), "target", months[:7], months[7:10], maxIter=60, maxDepth=3, stepSize=0.1)
