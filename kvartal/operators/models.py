@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as w
 
@@ -26,6 +26,8 @@ __all__ = ["TREES", "PriceModel", "SparkPriceModel", "model_of", "evaluate_walk_
 
 #: Rows (of training, over all splits at once) that go to tasks whole.
 TASK_ROWS = 1_000_000
+#: The same where most features are those of cells: a row takes some 150 bytes of a task.
+CELL_TASK_ROWS = 4_000_000
 SPLIT_PARTITIONS = 64
 
 
@@ -142,7 +144,17 @@ def permutation_effect(model, df: DataFrame, top: int = 15, seed: int = 7) -> Da
     return out.orderBy(F.desc("effect"), "feature").limit(top)
 
 
-def _side_by_side(rows: DataFrame, features: list[str], target: str, month: str | None, naive: str | None, seed: int, trees: dict) -> DataFrame:
+def _apart(spark: SparkSession, splits: list[int]) -> Column:
+    """A key for each value of ``split``, such that hash partitioning gives each a partition of its own, as far as there are any."""
+    rounds = -(-len(splits) // SPLIT_PARTITIONS)
+    numbers = spark.range(64 * SPLIT_PARTITIONS * rounds).select(F.col("id").cast("int").alias("key"))
+    places = numbers.groupBy(F.pmod(F.hash("key"), F.lit(SPLIT_PARTITIONS))).agg(F.slice(F.array_sort(F.collect_list("key")), 1, max(1, rounds)).alias("keys")).collect()  # a row for each partition
+    keys = sorted((i, k) for r in places for i, k in enumerate(r["keys"]))
+    pairs = [F.lit(x) for split, (_, key) in zip(splits, keys) for x in (int(split), key)]
+    return F.create_map(*pairs)[F.col("split")] if pairs else F.col("split")
+
+
+def _side_by_side(rows: DataFrame, splits: list[int], features: list[str], target: str, month: str | None, naive: str | None, seed: int, trees: dict) -> DataFrame:
     """Fit on the train rows and predict the test rows of every split; ``rows`` have split and role."""
     keep = ([month] if month else []) + [target] + ([naive] if naive else [])
     needed = list(dict.fromkeys(features + keep))
@@ -157,10 +169,11 @@ def _side_by_side(rows: DataFrame, features: list[str], target: str, month: str
         return pd.DataFrame(out | ({"naive": test[naive]} if naive else {}))
 
     # Each split is much work on little data: a fixed number of partitions keeps small ones from being put together.
-    return rows.select("split", "role", *cast).repartition(SPLIT_PARTITIONS, "split").groupBy("split").applyInPandas(run, schema)
+    key = _apart(rows.sparkSession, splits)
+    return rows.select(key.alias("key"), "split", "role", *cast).repartition(SPLIT_PARTITIONS, "key").groupBy("key").applyInPandas(run, schema)
 
 
-def _with_shared(rows: DataFrame, few: DataFrame, own: list[str], shared: list[str], target: str, naive: str | None, seed: int, trees: dict) -> DataFrame:
+def _with_shared(rows: DataFrame, few: DataFrame, splits: list[int], own: list[str], shared: list[str], target: str, naive: str | None, seed: int, trees: dict) -> DataFrame:
     """As ``_side_by_side`` without months, for features ``own`` of each row and ``shared`` of its cell: ``rows`` have split, role and cell, ``few`` split, cell and ``shared``."""
     import pyarrow as pa
 
@@ -177,26 +190,25 @@ def _with_shared(rows: DataFrame, few: DataFrame, own: list[str], shared: list[s
         shape = np.stack([floats(few, c)[by_cell] for c in shared], axis=1)
         at = np.searchsorted(cells[by_cell], rows.column("cell").to_numpy()).astype(np.int32)
         y, test = floats(rows, target), rows.column("test").to_numpy()
-        x = np.stack([floats(rows, c) for c in own], axis=0).T if own else np.zeros((len(y), 0))
-        extra = {"naive": floats(rows, naive)} if naive else {}
-        split = rows.column("split")[0].as_py() if len(y) else 0
-        del rows
-        learn, told = _ordered(y, x, shape, at, np.flatnonzero(~test & ~np.isnan(y))), np.flatnonzero(test & ~np.isnan(y))
+        columns = lambda some: np.stack([floats(rows, c)[some] for c in own]).T if own else np.zeros((len(some), 0))
+        learn, told = _ordered(y, columns, shape, at, np.flatnonzero(~test & ~np.isnan(y))), np.flatnonzero(test & ~np.isnan(y))
         predicted = np.full(len(told), np.nan)
         if len(learn) and len(told):
-            predicted = Booster.of(seed, **trees).fit(x[learn], y[learn], shape, at[learn]).predict(x[told], shape, at[told])
+            predicted = Booster.of(seed, **trees).fit(columns(learn), y[learn], shape, at[learn]).predict(columns(told), shape, at[told])
+        split = rows.column("split")[0].as_py() if len(y) else 0
         out = {"split": np.full(len(told), split, dtype=np.int32), "actual": y[told], "prediction": predicted}
-        return pa.table(out | {k: v[told] for k, v in extra.items()})
+        return pa.table(out | ({"naive": floats(rows, naive)[told]} if naive else {}))
 
     cast = [F.col(c).cast("double").alias(c) for c in needed]
-    left = rows.select("split", (F.col("role") == "test").alias("test"), "cell", *cast).repartition(SPLIT_PARTITIONS, "split").groupBy("split")
-    # Both come from the same rows, so these columns need other names.
-    right = few.select(F.col("split").alias("of_split"), F.col("cell").alias("of_cell"), *[F.col(c).cast("double").alias(c) for c in shared]).repartition(SPLIT_PARTITIONS, "of_split").groupBy("of_split")
+    # The cells come from the same rows, so these columns need other names.
+    key = _apart(rows.sparkSession, splits)
+    left = rows.select(key.alias("key"), "split", (F.col("role") == "test").alias("test"), "cell", *cast).repartition(SPLIT_PARTITIONS, "key").groupBy("key")
+    right = few.select(key.alias("of_key"), F.col("cell").alias("of_cell"), *[F.col(c).cast("double").alias(c) for c in shared]).repartition(SPLIT_PARTITIONS, "of_key").groupBy("of_key")
     return left.cogroup(right).applyInArrow(run, schema)
 
 
-def _ordered(y: np.ndarray, x: np.ndarray, shared: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """``rows`` by target and then by features, an order that doesn't hang on how they arrive."""
+def _ordered(y: np.ndarray, columns, shared: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``rows`` by target and then by features, an order that doesn't hang on how they arrive; ``columns`` gives the own features of some rows."""
     rows = rows[np.argsort(y[rows], kind="stable")]
     again = np.diff(y[rows]) == 0
     tied = np.flatnonzero(np.concatenate([again, [False]]) | np.concatenate([[False], again]))
@@ -204,7 +216,7 @@ def _ordered(y: np.ndarray, x: np.ndarray, shared: np.ndarray, at: np.ndarray, r
         # Cells with the same features are alike, so their rank may stand for the features.
         rank = np.unique(shared, axis=0, return_inverse=True)[1].reshape(-1) if shared.shape[1] else np.zeros(len(shared), dtype=np.int64)
         some = rows[tied]
-        rows[tied] = some[np.lexsort([rank[at[some]], *x[some].T[::-1], y[some]])]
+        rows[tied] = some[np.lexsort([rank[at[some]], *columns(some).T[::-1], y[some]])]
     return rows
 
 
@@ -215,7 +227,7 @@ def evaluate_walk_forward(df: DataFrame, features: list[str], target: str, split
     plan = split_table(df.sparkSession, splits)
     if df.count() <= TASK_ROWS:
         rows = df.join(F.broadcast(plan.withColumnRenamed("month", "_m")), F.col(month) == F.col("_m")).drop("_m")  # the calendar's months by splits
-        return _side_by_side(rows, features, target, month, naive, seed, trees).withColumnRenamed(month, "month")
+        return _side_by_side(rows, list(range(len(splits))), features, target, month, naive, seed, trees).withColumnRenamed(month, "month")
     out = None
     for i, (train, test) in enumerate(splits):
         model = SparkPriceModel(features, target, seed, **trees).fit(df.where(F.col(month).isin(train)))
@@ -240,13 +252,13 @@ def evaluate_folds(df: DataFrame, features: list[str], target: str, folds: DataF
     counts = {r["fold"]: r["count"] for r in rows.where(F.col(target).isNotNull()).groupBy("fold").count().collect()}  # one row a fold
     total = sum(counts.values())
     kept = sorted(k for k, n in counts.items() if n >= least_test and total - n >= least_train)
-    if total <= TASK_ROWS:
+    if total <= (CELL_TASK_ROWS if of_cells else TASK_ROWS):
         each = F.explode(F.array(*[F.lit(int(k)) for k in kept])) if kept else F.explode(F.array().cast("array<int>"))
         sided = rows.select("*", each.alias("split")).withColumn("role", F.when(F.col("fold") == F.col("split"), "test").otherwise("train"))
         if of_cells:
             few = rows.groupBy("cell").agg(*[F.first(c).alias(c) for c in of_cells]).select("*", each.alias("split"))
-            return _with_shared(sided, few, [c for c in used if c not in of_cells], of_cells, target, naive, seed, trees)
-        return _side_by_side(sided, used, target, None, naive, seed, trees)
+            return _with_shared(sided, few, kept, [c for c in used if c not in of_cells], of_cells, target, naive, seed, trees)
+        return _side_by_side(sided, kept, used, target, None, naive, seed, trees)
     out = None
     for k in kept:
         model = SparkPriceModel(used, target, seed, **trees).fit(rows.where(F.col("fold") != k))

@@ -63,7 +63,7 @@ def test_rows_of_equal_target_have_one_order():
     x[::7, 0] = np.nan
     got = []
     for o in (np.arange(500), rng.permutation(500)):
-        rows = models._ordered(y[o], x[o], shared, at[o], np.arange(500))
+        rows = models._ordered(y[o], lambda some: x[o][some], shared, at[o], np.arange(500))
         got.append(np.column_stack([y[o], x[o], shared[at[o]]])[rows])
     assert np.array_equal(*got, equal_nan=True) and (np.diff(got[0][:, 0]) >= 0).all()
 
@@ -98,6 +98,15 @@ def test_evaluations_side_by_side_are_those_of_single_models(spark):
     assert out.count() == df.where("h3 not in ('c0', 'c1') and not isnan(target)").count()
 
 
+def test_each_split_has_a_partition_of_its_own(spark):
+    p = models.SPLIT_PARTITIONS
+    for splits in ([0, 1, 2, 3, 4], list(range(26)), [7, 9], list(range(p + 6))):
+        df = spark.createDataFrame([(i,) for i in splits], "split int").withColumn("key", models._apart(spark, splits))
+        got = df.repartition(p, "key").select("split", "key", F.spark_partition_id().alias("at")).toPandas()
+        assert got.key.nunique() == len(splits) and got["at"].nunique() == min(p, len(splits)) and got["at"].value_counts().max() == -(-len(splits) // p)
+    assert not spark.range(0).withColumn("split", F.lit(1)).select(models._apart(spark, [])).count()
+
+
 def test_shared_features_go_to_the_tasks_once_a_cell(spark):
     df = table(spark).drop("d").withColumn("d", F.when(F.col("h3") != "c4", F.length("h3") + F.substring("h3", 2, 2).cast("double") % 5)).withColumn("near", F.col("target") + 1)
     folds = df.select("h3").distinct().withColumn("fold", F.when(F.col("h3") == "c0", -1).otherwise(F.substring("h3", 2, 2).cast("int") % 3))
